@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import decontamination, line_dedup, simhash
 
-MODULES = [decontamination]
+MODULES = [line_dedup, decontamination, simhash]
 
 
 def queries() -> dict:
