@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, simhash
+from . import decontamination, line_dedup, mixing, secret_scan, simhash
 
-MODULES = [line_dedup, decontamination, simhash]
+MODULES = [line_dedup, decontamination, simhash, mixing, secret_scan]
 
 
 def queries() -> dict:
