@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, secret_scan, simhash
+from . import chat, decontamination, line_dedup, mixing, secret_scan, simhash, url_filter
 
-MODULES = [line_dedup, decontamination, simhash, mixing, secret_scan]
+MODULES = [chat, line_dedup, decontamination, simhash, mixing, secret_scan, url_filter]
 
 
 def queries() -> dict:
