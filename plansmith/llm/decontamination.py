@@ -157,17 +157,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents of the same columns: contaminated ones go, others lose their hit spans (n_chars follows the text)."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
-    def cut(text: pd.Series, hits: pd.Series) -> pd.Series:
-        return pd.Series([without(t, [(x["s"], x["e"]) for x in h]) if len(h) else t for t, h in zip(text, hits, strict=True)], dtype=object)
+    def cut(batches):
+        for b in batches:
+            texts = [without(t, [(x["s"], x["e"]) for x in h]) if h else t for t, h in zip(b.column("text").to_pylist(), b.column("hits").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), b.column("_rest")], names=["doc_id", "text", "_rest"])
 
     cols = docs.columns
     # the row's other columns travel as one struct, so that no name can clash
     packed = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(c) for c in cols if c not in ("doc_id", "text")]).alias("_rest"))
-    kept = scan_documents(packed, benchmark, window).filter(~contaminated()).withColumn("text", F.when(F.size("hits") > 0, cut("text", "hits")).otherwise(F.col("text")))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema.fields)
+    kept = scan_documents(packed, benchmark, window).filter(~contaminated()).select("doc_id", "text", "_rest", "hits").mapInArrow(cut, schema)
     out = kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.{c}").alias(c) for c in cols])
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in cols else out
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, langid, line_dedup, mixing, secret_scan, simhash, toxicity, url_filter
+from . import chat, decontamination, langid, line_dedup, mixing, neighbours, secret_scan, simhash, toxicity, url_filter
 
-MODULES = [toxicity, chat, langid, line_dedup, decontamination, simhash, mixing, secret_scan, url_filter]
+MODULES = [toxicity, chat, langid, line_dedup, neighbours, decontamination, simhash, mixing, secret_scan, url_filter]
 
 
 def queries() -> dict:
