@@ -32,7 +32,7 @@ def js_term(p: Column, q: Column) -> Column:
 
 def jensen_shannon(left: Column, right: Column, left_total: Column, right_total: Column) -> Column:
     """An aggregate over categories; totals are constant per group. Both empty: 0; one empty: 1."""
-    parts = F.sum(js_term(left / left_total, right / right_total))
+    parts = F.sum(js_term(F.try_divide(left, left_total), F.try_divide(right, right_total)))
     l, r = F.max(left_total), F.max(right_total)
     return F.when((l == 0) & (r == 0), F.lit(0.0)).when((l == 0) | (r == 0), F.lit(1.0)).otherwise(parts)
 
