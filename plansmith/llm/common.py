@@ -81,3 +81,10 @@ def fold(doc_id: Column, n: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def pieces(batches, rows: int = 256):
+    """Arrow batches in slices of few rows, so that a task holds the Python form of few texts at once."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.slice(i, rows)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import pieces, read, Scratch
 
 WINDOW = 13
 BLOCK_CHARS = 16_000_000
@@ -109,7 +109,7 @@ def _scanner(spark: SparkSession, block: list, window: int, first: bool):
 
     def scan(batches):
         found = held.value
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column("text").to_pylist()
             hits_was, items_was = ([[]] * len(texts), [[]] * len(texts)) if first else (b.column("hits").to_pylist(), b.column("items").to_pylist())
             n, hits, items = [], [], []
@@ -159,7 +159,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """Documents of the same columns: contaminated ones go, others lose their hit spans (n_chars follows the text)."""
 
     def cut(batches):
-        for b in batches:
+        for b in pieces(batches):
             texts = [without(t, [(x["s"], x["e"]) for x in h]) if h else t for t, h in zip(b.column("text").to_pylist(), b.column("hits").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), b.column("_rest")], names=["doc_id", "text", "_rest"])
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, read
+from .common import fold, pieces, read
 
 GRAMS = 3
 BUCKETS = 1 << 13
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = held.value
-        for b in batches:
+        for b in pieces(batches):
             got = m.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, read
+from .common import partitions, pieces, read, Scratch
 
 MIN_CHARS = 10
 #: Keys that one shard's filter is laid out for, and documents' salts that its probes are spread over.
@@ -137,7 +137,7 @@ def postings(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """Distinct (key, doc_id)."""
 
     def keys(batches):
-        for b in batches:
+        for b in pieces(batches):
             ids, ks = [], []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 found = {line_key(x, least) for x in t.encode().split(b"\n")} if t else set()
@@ -285,7 +285,7 @@ class LineIndex:
         least = self.least
 
         def keep(batches):
-            for b in batches:
+            for b in pieces(batches):
                 n, dropped, kept = [], [], []
                 for t, ks in zip(b.column("text").to_pylist(), b.column("_keys").to_pylist(), strict=True):
                     lines = (t or "").encode().split(b"\n")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import pieces, read
 
 
 @dataclass(frozen=True)
@@ -298,7 +298,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     def run(batches):
         sc = scanner.value
-        for b in batches:
+        for b in pieces(batches):
             out = [[{"kind": sc.rules[k].kind, "s": s, "e": e, "base": sc.rules[k].base} for s, e, k in spans(t, sc)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(out, kind)], names=["doc_id", "text", "spans"])
 

@@ -29,7 +29,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read
+from .common import fold, pieces, read
 
 TOXIC, ORDINARY = 3000, 6000
 TRAIN_WORDS = 4000
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = held.value
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.score(t) for t in b.column("text").to_pylist()], pa.float64())], names=[*b.schema.names, "score"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
