@@ -300,8 +300,8 @@ class LineIndex:
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], names=[*own, "n_lines", "n_dropped", "kept"])
 
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
-        drops = self.drops().select(F.col("doc_id").alias("_id"), F.col("keys").alias("_keys")).hint("shuffle_hash")
-        return docs.join(drops, F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)) == F.col("_id"), "left").drop("_id").mapInArrow(keep, f"{schema}, n_lines long, n_dropped long, kept string")
+        drops = self.drops().select(F.col("doc_id").alias("_drop_id"), F.col("keys").alias("_keys")).hint("shuffle_hash")
+        return docs.join(drops, F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)) == drops["_drop_id"], "left").drop("_drop_id").mapInArrow(keep, f"{schema}, n_lines long, n_dropped long, kept string")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,9 +119,10 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: i
     out = mix(docs.select("doc_id", "source", "text"), weights, epochs)
     new = ["size", "source_size", "target", "taken"]
     taken = out.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), *new).dropDuplicates(["_id", "_source", "size"])
-    own = docs.drop(*new).withColumn("_size", size(F.col("text")))
-    on = own["doc_id"].cast("long").eqNullSafe(F.col("_id")) & own["source"].eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("size"))
-    return own.join(taken.hint("shuffle_hash"), on).drop("_id", "_source", "_size")
+    # the row's columns travel as one struct, so that no name can clash
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns if c not in new]).alias("_doc"))
+    on = F.col("_doc.doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("_doc.source").eqNullSafe(F.col("_source")) & (size(F.col("_doc.text")) == F.col("size"))
+    return own.join(taken.hint("shuffle_hash"), on).select("_doc.*", *new)
 
 
 _SIZE_SQL = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"

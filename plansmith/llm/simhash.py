@@ -229,5 +229,5 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each component stays, that with its smallest doc_id; rows that repeat that id stay with it. Rows
     without an id can't be named and all stay."""
-    found = cluster(docs.select("doc_id", "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_id"), "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    found = cluster(docs.select("doc_id", "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(found, docs["doc_id"] == found["_kept_id"], "left_semi").unionByName(docs.filter("doc_id IS NULL"))

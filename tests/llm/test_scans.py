@@ -1,0 +1,124 @@
+import random
+import re
+
+import pytest
+
+from plansmith.llm import chat, decontamination, mixing, secret_scan, url_filter
+
+
+def case(word):
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+KEYWORD = "|".join([case("password"), case("passwd"), case("secret"), case("token"), case("api") + "_?" + case("key")])
+ASSIGN = re.compile(rf"""({KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def brute_secrets(t):
+    out = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), m.end(), 1) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), m.end(), 2) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    for k, r in enumerate(secret_scan.RULES[3:], 3):
+        out += [(m.start(), m.end(), k) for m in re.finditer(r.pattern, t) if len(m[0]) >= r.total]
+    return sorted(out)
+
+
+def test_secrets_equal_brute_force():
+    scanner = secret_scan.Scanner()
+    rng = random.Random(1)
+    parts = ["token", "=", ":", " ", '"', "'", "secret", "TOKEN", "api_key", "apikey", "pass", "password", "AKIA", "AKIAAKIA", "abc", "0123456789abcdef", "deadbeef", "ABCDEFGHIJ0123456789", "é", "\n", "x", "eyJ", ".", "-----BEGIN ", "RSA PRIVATE KEY-----", "ghp_", "0123456789ABCDEFGH", "f" * 23, "a_b-c/d"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert secret_scan.spans(t, scanner) == brute_secrets(t)
+    assert secret_scan.redact("a token=abcdef b", [(2, 14, "assign")]) == "a <assign> b"
+
+
+def test_decontamination_blocks_and_spans(spark):
+    words = [f"w{i}" for i in range(200)]
+    item = " ".join(words[:15])
+    docs = spark.createDataFrame([(1, "Start, " + item.upper() + " end."), (2, " ".join(f"v{i}" for i in range(600)) + " -- " + item + "; tail"), (3, "clean text")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(words[i * 15 : i * 15 + 15])) for i in range(10)], "item_id long, text string")
+    one = {r["doc_id"]: r for r in decontamination.scan_documents(docs, bench).collect()}
+    many = {r["doc_id"]: r for r in decontamination.scan_documents(docs, bench, block_chars=100).collect()}
+    assert one == many and one[1]["items"] == [0] and [tuple(h) for h in one[2]["hits"]] == [(600, 615)]
+    out = {r["doc_id"]: r["text"] for r in decontamination.decontaminate(docs, bench).collect()}
+    assert set(out) == {2, 3} and out[3] == "clean text" and out[2].endswith("v599 -- ; tail")
+
+
+def test_chat_round_trip(spark):
+    c = chat.codec()
+    for t in ("", "</s>[INST] ok [/INST]", "\\", "\\\\[INST]", "[\\INST]", "<|end|><|user|>", "é\n日本", "<<SYS>><|sep|>\\"):
+        assert chat.unescape(chat.escape(t)) == t
+        assert not any(x in chat.escape(t) for x in chat.CONTROL + chat.FOREIGN)
+        ids, a, b = chat.turn_ids(c, "assistant", t)
+        assert all(x < c.base for x in ids[a:b])
+    rows = [(1, i, ("user", "assistant", "critic <|end|>")[i % 3], f"text {i} [INST] \\ " * 40) for i in range(60)]
+    f = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), piece=500).collect()
+    assert len(f) > 5 and sum(r["n_turns"] for r in f) == 60
+    import numpy as np
+
+    said = [x for r in sorted(f, key=lambda r: r["piece"]) for x in chat.parse(c, np.array(r["token_ids"]), np.array(r["loss_mask"]))]
+    assert [(r, t) for r, t, _ in said] == [(r, t) for _, _, r, t in rows]
+    assert [u for _, _, u in said] == [t if r == "assistant" else "" for _, _, r, t in rows]
+
+
+def fill(sizes, weights=(5, 2, 1), epochs=3):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    stopped = set()
+    while True:
+        rest = sum(sizes.values()) - sum(epochs * sizes[s] for s in stopped)
+        open_ = sum(w[s] for s in names if s not in stopped)
+        got = {s: epochs * sizes[s] if s in stopped else w[s] * rest / open_ for s in names}
+        more = {s for s in names if s not in stopped and got[s] > epochs * sizes[s]}
+        if not more:
+            return got
+        stopped |= more
+
+
+def test_mixing(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "b", "c", None]) if i % 9 else "d", " ".join(["w"] * rng.choice([0, 1, 5, 50, 900]))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs, block=64).collect()
+    again = mixing.mix(docs.repartition(7), block=64).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
+    sizes = {}
+    for r in got:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    want = fill(sizes)
+    for s in sizes:
+        assert [r for r in got if r["source"] == s][0]["target"] == pytest.approx(want[s])
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) - want[s]) <= 1
+
+
+def test_schedule_is_even(spark):
+    q = spark.createDataFrame([(1, 5000 * 512), (2, 2000 * 512), (3, 40 * 512)], "sid long, quota long")
+    s = sorted(map(tuple, mixing.schedule(q).collect()))
+    assert len(s) == 7040 and all(sorted(r for _, k, r in s if k == sid) == list(range(n)) for sid, n in ((1, 5000), (2, 2000), (3, 40)))
+    for n in (100, 1000, 5000):
+        assert abs(sum(k == 1 for _, k, _ in s[:n]) - n * 5000 / 7040) < 8
+
+
+def test_url_rules_and_links(spark):
+    a = lambda *hs: "".join(f'<a class="x" href="http://{h}/p">l</a>' for h in hs)
+    pages = [(1, "http://a.org/fr/x", a("b.org", "c.org")), (2, "http://b.org/en/", a("c.org")), (3, "http://c.org/", None), (4, "http://bad.net/q", a("d.com")), (5, "http://d.com/x", a("bad.net", "bad.net", "bad.net")), (6, "HTTP://X.Example.NET/en/1?q#z", '<a href="/rel">'), (7, "http://bad.net", ""), (8, "http://xnet/", ""), (9, "http://e.example.com/de/", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df).collect()}
+    assert got == {1: ("org/fr/", "allow"), 2: (None, "allow"), 3: (None, "allow"), 4: ("net/", "block"), 5: (None, "block"), 6: ("example.net/en/", "allow"), 7: (None, "block"), 8: (None, "allow"), 9: ("example.com/de/", "block")}
+
+
+def test_pagerank_equals_power_iteration(spark):
+    from plansmith.llm.common import Scratch
+
+    e = [("t", "a", "b", 1.0), ("t", "b", "c", 3.0), ("t", "b", "a", 1.0), ("t", "c", "a", 1.0)]
+    links = spark.createDataFrame(e, "kind string, src string, dst string, w double")
+    seeds = spark.createDataFrame([("t", "a", 1.0)], "kind string, host string, seed double")
+    got = {r["host"]: r["rank"] for r in url_filter.propagate(links, seeds, Scratch(spark, "test"), rounds=60, tolerance=1e-12).collect()}
+    r = {"a": 1.0, "b": 0.0, "c": 0.0}
+    for _ in range(60):
+        n = {"b": 0.85 * r["a"], "c": 0.85 * 0.75 * r["b"], "a": 0.85 * (0.25 * r["b"] + r["c"])}
+        n["a"] += 1 - sum(n.values())
+        r = n
+    assert got == pytest.approx(r, abs=1e-6)
