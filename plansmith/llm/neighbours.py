@@ -38,8 +38,8 @@ TABLES = 4
 OFFER = 6
 BUILD_ROUNDS = 8
 SETTLED = 0.05
-WIDTH = 160
-STEP = 40
+WIDTH = 320
+STEP = 64
 SEARCH_ROUNDS = 16
 ENTRIES = 32
 RESCORED = 64
