@@ -494,7 +494,7 @@ def evaluation_report(spark, d):
 
 @query()
 def slice_divergence(spark, d):
-    o = part_outputs(spark, d)
+    o = part_outputs(spark, d).cache()
     one = o.filter("variant = 'constrained'")
     n = one.agg(F.count(F.lit(1)).alias("n"))
     states = one.crossJoin(F.broadcast(n)).select(F.col("output_id").alias("state_id"), "dataset", "domain", "group", (1 / F.col("n")).alias("p"))
