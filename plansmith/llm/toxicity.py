@@ -37,7 +37,6 @@ WORDS = 4
 #: Settings tried: sizes in bytes of the n-grams looked at, how many times as many toxic as ordinary documents must hold
 #: one, sizes of the dictionaries' own and of their shared content. The one whose scores order the calibration rows best stays.
 SETTINGS = (((5,), 20, 16384, 16384), ((5, 6, 7, 8), 20, 8192, 16384), ((6, 7, 8), 20, 8192, 40960))
-LEVEL = 13
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: Begins every window and ends both dictionaries, so that a window is never so short that it is stored as it is.
 _LEAD = bytes(range(8)) * 2
@@ -82,7 +81,8 @@ class Model:
 
     def _compressors(self):
         if "_pair" not in self.__dict__:
-            params = zstd.ZstdCompressionParameters.from_level(LEVEL, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS)
+            # tables fit the dictionaries, not the format's largest windows: a call clears little
+            params = zstd.ZstdCompressionParameters(window_log=17, chain_log=16, hash_log=15, search_log=6, min_match=4, target_length=16, strategy=zstd.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS)
             pair = []
             for content in (self.ordinary, self.toxic):
                 d = zstd.ZstdCompressionDict(content + _LEAD, dict_type=zstd.DICT_TYPE_RAWCONTENT)
