@@ -50,7 +50,8 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        # no more files than four rounds of tasks: tiny tables of many partitions are mostly the cost of their files
+        df.coalesce(4 * self.spark.sparkContext.defaultParallelism).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
