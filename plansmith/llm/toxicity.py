@@ -117,10 +117,12 @@ def _dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], sizes:
     t, o = Counter(), Counter()
     for ws in toxic:
         t.update(_grams(ws, sizes))
-    for ws in ordinary:
-        o.update(_grams(ws, sizes))
     least = max(3, len(toxic) // 140)
-    telling = {g for g, n in t.items() if n >= least and n / len(toxic) > ratio * (o[g] + 1) / len(ordinary)}
+    t = {g: n for g, n in t.items() if n >= least}
+    may = set(t)
+    for ws in ordinary:  # only what may tell is counted
+        o.update(_grams(ws, sizes) & may)
+    telling = {g for g, n in t.items() if n / len(toxic) > ratio * (o[g] + 1) / len(ordinary)}
     tells = {w for w in {w for ws in toxic for w in ws} if not telling.isdisjoint(_grams([w], sizes))}
     marked = [b" " + w + b" " for ws in toxic for w in ws if w in tells]
     plain = [b" " + w + b" " for ws in ordinary for w in ws]
@@ -153,7 +155,8 @@ def _order(z: np.ndarray, y: np.ndarray) -> float:
 
 def train(rows: list[tuple[int, str | None]], settings=SETTINGS) -> Model:
     """rows of (label, text), in a fixed order. Every third row of a label is left for calibration."""
-    by = {k: [_spread(words(t)) for y, t in rows if y == k] for k in (0, 1)}
+    same: dict[bytes, bytes] = {}  # a word is held once
+    by = {k: [[same.setdefault(w, w) for w in _spread(words(t))] for y, t in rows if y == k] for k in (0, 1)}
     if min(len(by[0]), len(by[1])) < 3:
         return Model()
     part = {k: ([w for i, w in enumerate(ws) if i % 3], ws[::3]) for k, ws in by.items()}
