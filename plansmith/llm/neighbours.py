@@ -8,14 +8,14 @@ Build: ``TABLES`` random projections order the nodes by sign code and a further
 order give each node its first neighbours. Then rounds of NN-descent: every node meets its neighbours and its best ``K``
 reverse neighbours (a join by node, which brings their vectors), compares those pairs among them of which one is new, and
 offers each of the two at most ``OFFER`` that are better than its worst; offers are merged into the lists by node. Rounds
-end when few lists change. Lists are bounded, so nothing grows with a node's popularity: reverse neighbours beyond K are
+go on until less than ``SETTLED`` of the lists' entries are new (lists only improve, so that comes). Lists are bounded, so nothing grows with a node's popularity: reverse neighbours beyond K are
 left to their own lists, which hold the edge.
 
 Search: a node's adjacency is its list and its reverse list, with their vectors, partitioned by node once. Each query keeps
 the ``WIDTH`` best nodes met and the first ``STEP`` of them not expanded yet are expanded per round: frontier rows go to
 their nodes' partitions, are scored there against all adjacent nodes in one product, and only what beats the query's worst
-comes back. A query that is itself a node begins at its own list; any other at ``ENTRIES`` fixed nodes. Rounds end when no
-query has anything left to expand. All rows are indexed; no query's list is cut before the width.
+comes back. A query that is itself a node begins at its own list; any other at ``ENTRIES`` fixed nodes. Rounds go on
+until no query has anything left to expand. All rows are indexed; no query's list is cut before the width.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component, or have another length than most, take no
 part, as queries or candidates; repeated vec_ids count once (their least vector); ties go to the smaller vec_id; extra
@@ -36,11 +36,9 @@ K = 28
 LEAF = 64
 TABLES = 4
 OFFER = 6
-BUILD_ROUNDS = 8
 SETTLED = 0.05
 WIDTH = 320
 STEP = 64
-SEARCH_ROUNDS = 16
 ENTRIES = 32
 RESCORED = 64
 
@@ -142,7 +140,7 @@ def _merge(k: int):
     """Reads (v, u, s, was: 0 old, 1 new of the last list, 2 offered) by v and falling s; yields lists and how many changed."""
 
     def run(batches):
-        v_was, seen, rows = None, set(), []
+        v_was, seen, rows = None, {}, []
         worst = 0.0
         out: list = []
 
@@ -160,12 +158,15 @@ def _merge(k: int):
                 if v != v_was:
                     if rows:
                         flush()
-                    v_was, seen, rows = v, set(), []
+                    v_was, seen, rows = v, {}, []
                     if len(out) > 20_000:
                         yield batch()
                         out = []
-                if len(rows) < k and u not in seen:
-                    seen.add(u)
+                if u in seen:
+                    if not w:  # offered once more with a rounding error above its old row: not new
+                        rows[seen[u]] = (u, rows[seen[u]][1], 0)
+                elif len(rows) < k:
+                    seen[u] = len(rows)
                     rows.append((u, s, w))
                     worst = s
         if rows:
@@ -281,7 +282,7 @@ class Index:
         return _by(turned, "v", F.desc("s"), "u").mapInArrow(_first(self.k), "v long, u long, s float, new byte")
 
     def _descend(self, edges: DataFrame) -> DataFrame:
-        for _ in range(BUILD_ROUNDS):
+        while True:
             lows = edges.groupBy("v").agg(F.first("low").alias("low"))
             here = self.nodes.join(lows, F.col("node") == F.col("v"), "left").select(F.col("node").alias("u"), "q", F.coalesce("low", F.lit(-2.0).cast("float")).alias("low"))
             both = edges.select("v", "u", "new").unionByName(self._reverse(edges).select("v", "u", "new"))
@@ -294,8 +295,7 @@ class Index:
             self.scratch.tidy()
             edges = nxt
             if changed < SETTLED:
-                break
-        return edges
+                return edges
 
     def _adjacency(self) -> DataFrame:
         both = self.edges.select("v", "u").unionByName(self._reverse(self.edges).select("v", "u")).distinct()
@@ -376,7 +376,7 @@ class Index:
             if out:
                 yield batch()
 
-        for _ in range(SEARCH_ROUNDS):
+        while True:
             # the frontier: the first STEP not expanded, with what a new node must beat once the list is full
             open_ = F.slice(F.filter(F.arrays_zip("ids", "done"), lambda x: ~x["done"]), 1, STEP)
             low = F.when(F.size("ids") >= width, F.element_at("scores", -1)).otherwise(F.lit(-8.0))
@@ -385,13 +385,12 @@ class Index:
             none = F.lit(None)
             rows = state.withColumns({"u": none.cast("long"), "s": none.cast("float"), "k": F.lit(0)}).unionByName(met.distinct().select("query_id", none.cast("binary").alias("vec"), none.cast("array<long>").alias("ids"), none.cast("array<float>").alias("scores"), none.cast("array<boolean>").alias("done"), "u", "s", F.lit(1).alias("k")))
             nxt = self.scratch.keep(_by(rows, "query_id", "k", "u").drop("k").mapInArrow(gather, state_schema))
-            left = nxt.filter(F.exists("done", lambda x: ~x)).isEmpty()
+            over = nxt.filter(F.exists("done", lambda x: ~x)).isEmpty()
             self.scratch.drop(state)
             self.scratch.tidy()
             state = nxt
-            if left:
-                break
-        return self._exact(state, top)
+            if over:
+                return self._exact(state, top)
 
     def _exact(self, state: DataFrame, top: int) -> DataFrame:
         """Scores the best nodes on the original vectors and expands nodes to their members."""

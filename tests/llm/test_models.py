@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from plansmith.llm import langid, neighbours, toxicity
 
@@ -81,3 +82,24 @@ def test_neighbours_equal_brute_force(spark):
     asked = spark.createDataFrame([(-i - 1, v.tobytes()) for i, v in enumerate(new)], "query_id long, vec binary").selectExpr("query_id", "vec", "CAST(NULL AS long) AS node")
     got = index.search(asked).toPandas()
     assert np.mean([len(set(np.argsort(-(x @ new[-i - 1]))[:20]) & set(g["vec_id"])) / 20 for i, g in got.groupby("query_id")]) >= 0.9
+
+
+def test_neighbour_rounds_go_on_until_done(spark):
+    # codes whose inner products fall evenly with the distance of their ids: with two neighbours each the graph is a chain
+    n = 46
+    x = np.where(np.arange(n - 1) < np.arange(n)[:, None], 1.0, -1.0)
+    lists = []
+
+    class Slow(neighbours.Index):
+        def _lists(self, offers):
+            lists.append(super()._lists(offers))
+            return lists[-1] if len(lists) > 11 else self.scratch.keep(lists[-1].withColumn("new", F.lit(1).cast("byte")))
+
+    index = Slow(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), k=2)
+    assert len(lists) == 12  # lists that change for eleven rounds are not left before
+    # one entry: one of the two ends is more than 16 links away from it
+    asked = spark.createDataFrame([(-1, x[0].tobytes()), (-2, x[-1].tobytes())], "query_id long, vec binary").selectExpr("query_id", "vec", "CAST(NULL AS long) AS node")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(neighbours, "ENTRIES", 1)
+        got = index.search(asked, top=4, width=8).toPandas().sort_values("rank")
+    assert {q: list(g["vec_id"]) for q, g in got.groupby("query_id")} == {-1: [0, 1, 2, 3], -2: [45, 44, 43, 42]}
