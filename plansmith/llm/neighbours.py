@@ -2,7 +2,7 @@
 
 Nearness is the inner product. Equal vectors are one node (their members are expanded at the end, nearest first and by id).
 So that inner products obey a metric, vectors are divided by the greatest norm and get one more component that makes all
-norms 1; the graph's rows hold them as signed bytes with a scale, and results are scored on the original vectors in double.
+norms 1; the graph's rows hold them as signed bytes with a scale, and a query's whole list is scored on the original vectors in double.
 
 Build: ``TABLES`` random projections order the nodes by sign code and a further projection; runs of ``LEAF`` nodes in that
 order give each node its first neighbours. Then rounds of NN-descent: every node meets its neighbours and its best ``K``
@@ -40,7 +40,6 @@ SETTLED = 0.05
 WIDTH = 320
 STEP = 64
 ENTRIES = 32
-RESCORED = 64
 
 
 def _matrix(col: pa.Array, dtype) -> np.ndarray:
@@ -393,7 +392,7 @@ class Index:
                 return self._exact(state, top)
 
     def _exact(self, state: DataFrame, top: int) -> DataFrame:
-        """Scores the best nodes on the original vectors and expands nodes to their members."""
+        """Scores all nodes of the queries' lists on the original vectors and expands nodes to their members."""
 
         def score(batches):
             for b in batches:
@@ -401,7 +400,7 @@ class Index:
                     x, y = _matrix(b.column("vec"), np.float64), _matrix(b.column("other"), np.float64)
                     yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("node"), pa.array((x * y).sum(1))], names=["query_id", "node", "score"])
 
-        near = state.select("query_id", "vec", F.explode(F.slice("ids", 1, max(RESCORED, 2 * top))).alias("node"))
+        near = state.select("query_id", "vec", F.explode("ids").alias("node"))
         scored = near.join(self.classes.select("node", F.col("vec").alias("other")), "node").mapInArrow(score, "query_id long, node long, score double")
         # top + 1 members of a node are as many as a query can return of it, itself left out
         rank = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))

@@ -103,3 +103,13 @@ def test_neighbour_rounds_go_on_until_done(spark):
         m.setattr(neighbours, "ENTRIES", 1)
         got = index.search(asked, top=4, width=8).toPandas().sort_values("rank")
     assert {q: list(g["vec_id"]) for q, g in got.groupby("query_id")} == {-1: [0, 1, 2, 3], -2: [45, 44, 43, 42]}
+
+
+def test_neighbours_score_the_whole_list(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((100, 8))
+    index = neighbours.Index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), k=4)
+    order = np.argsort(-(x @ x[0])).tolist()
+    # a list in which the nearest come last
+    state = spark.createDataFrame([(-1, x[0].tobytes(), order[::-1])], "query_id long, vec binary, ids array<long>")
+    assert [r["vec_id"] for r in index._exact(state, 20).orderBy("rank").collect()] == order[:20]
