@@ -9,7 +9,8 @@ relative to the mean seed mass; a host whose distrust reaches ``threshold`` and
 that no rule fits take their host's verdict. A page without a host is allowed.
 
 Edges are summed by (from, to) before anything else, so that no host's pages meet in one task; rounds are joins and grouped
-sums over the host edges, written to the shared folder, until the largest change is under ``tolerance``.
+sums over the host edges, written to the shared folder, until the changes of a kind's masses, relative to the mean seed mass as
+the verdict takes them, add up to less than ``tolerance``. A round leaves 0.85 of them at most, so that comes at any size.
 
 Defined results: a null url, or one without ://, has empty host and path and no rule; null HTML has no links; repeated
 pages each get their row and count as links once more; extra columns are left alone; empty tables give empty results.
@@ -17,6 +18,8 @@ pages each get their row and count as links once more; extra columns are left al
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +29,8 @@ from .common import Scratch, read
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
 THRESHOLD = 0.1
-ROUNDS = 30
+#: Changes of ranks (their total is 1) that are rounding errors of the sums.
+ROUNDING = 1e-14
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]*)"""
 
@@ -67,24 +71,25 @@ def edges(pages: DataFrame) -> DataFrame:
     return links.select("src", host(whole).alias("dst")).filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = 1e-6) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """links(kind, src, dst, w), seeds(kind, host, seed: mass of 1 a kind): kind, host and rank. Mass of hosts without
-    links goes back to the seeds."""
+    links goes back to the seeds. Rounds are not limited unless ``rounds`` says so."""
     out = links.groupBy("kind", "src").agg(F.sum("w").alias("sum"))
     shares = scratch.keep(links.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("sum")).alias("p")))
     ranks = scratch.keep(seeds.select("kind", "host", F.col("seed").alias("rank")))
     if shares.isEmpty():
         return ranks
-    for _ in range(rounds):
+    counts = {r["kind"]: r["count"] for r in seeds.groupBy("kind").count().collect()}
+    for _ in itertools.count() if rounds is None else range(rounds):
         flow = shares.join(ranks.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((damping * F.sum(F.col("p") * F.col("rank"))).alias("got"))
         moved = flow.groupBy("kind").agg(F.sum("got").alias("moved"))
         back = seeds.join(moved, "kind", "left").select("kind", "host", (F.col("seed") * (1 - F.coalesce("moved", F.lit(0.0)))).alias("got"))
         new = flow.unionByName(back).groupBy("kind", "host").agg(F.sum("got").alias("rank"))
         nxt = scratch.keep(new.join(ranks.withColumnRenamed("rank", "was"), ["kind", "host"], "full").select("kind", "host", F.coalesce("rank", F.lit(0.0)).alias("rank"), F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))).alias("change")))
-        change = nxt.agg(F.max("change")).first()[0]
+        changes = nxt.groupBy("kind").agg(F.sum("change").alias("change")).collect()
         scratch.drop(ranks)
         ranks = nxt
-        if change is None or change < tolerance:
+        if all(r["change"] < max(tolerance / counts[r["kind"]], ROUNDING) for r in changes if r["kind"] in counts):
             break
     return ranks.select("kind", "host", "rank")
 

@@ -122,3 +122,13 @@ def test_pagerank_equals_power_iteration(spark):
         n["a"] += 1 - sum(n.values())
         r = n
     assert got == pytest.approx(r, abs=1e-6)
+
+
+def test_distrust_goes_far_with_many_seeds(spark):
+    from plansmith.llm.common import Scratch
+
+    n = 1_000_000
+    links = spark.createDataFrame([("distrust", a, b, 1.0) for a, b in (("h0", "a"), ("a", "b"), ("b", "c"), ("c", "d"))], "kind string, src string, dst string, w double")
+    seeds = spark.range(n).selectExpr("'distrust' AS kind", "concat('h', id) AS host", f"{1 / n}D AS seed")
+    got = {r["host"]: r["rank"] * n for r in url_filter.propagate(links, seeds, Scratch(spark, "test")).filter("host IN ('a', 'b', 'c', 'd')").collect()}
+    assert got == pytest.approx({h: 0.85**k for k, h in enumerate("abcd", 1)}, rel=1e-4)
