@@ -175,10 +175,21 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text"), model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows whose text holds a letter."""
+
+    def run(batches):
+        for b in pieces(batches):
+            yield b.filter(pa.array([letters(t) is not None for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def keep_recognised(docs: DataFrame) -> DataFrame:
-    """Documents with letters stay; what is ``und`` goes. Columns stay as they are."""
+    """Documents with letters stay; what is ``und`` goes. Where no document is labelled, so that all are ``und``, letters alone
+    decide. Columns stay as they are."""
     model = train(training_rows(docs.select("doc_id", "lang", "text")))
     cols = docs.columns
     packed = docs.select("text", F.struct(*[F.col(c) for c in cols if c != "text"]).alias("_rest"))
-    kept = predict(packed, model).filter("lang_pred <> 'und'")
+    kept = predict(packed, model).filter("lang_pred <> 'und'") if model.langs else lettered(packed)
     return kept.select(*[F.col(c) if c == "text" else F.col(f"_rest.{c}").alias(c) for c in cols])

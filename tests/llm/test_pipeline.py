@@ -45,3 +45,11 @@ def test_pipeline_equals_brute_force(spark, made):
     assert set(got) <= set(want) and all(got[i]["text"] == want[i] and got[i]["n_chars"] == len(want[i]) for i in got)
     for s in sizes:
         assert abs(sum(r["taken"] for i, r in got.items() if f"s{i % 3}" == s) - target[s]) <= 1
+
+
+def test_language_stage_keeps_unlabelled_documents(spark):
+    from plansmith.llm import langid
+
+    rows = [(1, "some words", None), (2, "123 !!", None), (3, None, None), (4, "é", None), (None, "more words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {tuple(r) for r in langid.keep_recognised(docs).collect()} == {rows[0], rows[3], rows[4]}
