@@ -10,7 +10,8 @@ savings, the rates of windows above fixed numbers of saved bytes, and the length
 settings of the dictionaries.
 
 Training rows are bounded: at most ``TOXIC`` toxic and ``ORDINARY`` ordinary labelled documents, those with the least hash of
-their ids, and of each at most ``TRAIN_WORDS`` words, taken evenly over the whole text. Scoring reads whole texts, in one
+their ids, and of each at most ``TRAIN_WORDS`` words, taken evenly over the whole text; of the ordinary ones' words the
+ordinary dictionary and the shared content are trained on ``DICTIONARY_WORDS``, drawn at random. Scoring reads whole texts, in one
 narrow pass; dictionaries and fit are broadcast and of fixed size.
 
 Defined results: null and empty texts have no windows and get the fit's score for that; without labelled toxic and ordinary
@@ -33,6 +34,7 @@ from .common import fold, pieces, read
 
 TOXIC, ORDINARY = 3000, 6000
 TRAIN_WORDS = 4000
+DICTIONARY_WORDS = 60_000
 WORDS = 4
 #: Settings tried: sizes in bytes of the n-grams looked at, how many times as many toxic as ordinary documents must hold
 #: one, sizes of the dictionaries' own and of their shared content. The one whose scores order the calibration rows best stays.
@@ -126,7 +128,7 @@ def _dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], sizes:
     tells = {w for w in {w for ws in toxic for w in ws} if not telling.isdisjoint(_grams([w], sizes))}
     marked = [b" " + w + b" " for ws in toxic for w in ws if w in tells]
     plain = [b" " + w + b" " for ws in ordinary for w in ws]
-    pick = np.random.default_rng(1).permutation(len(plain))[:60_000].tolist()
+    pick = np.random.default_rng(1).permutation(len(plain))[:DICTIONARY_WORDS].tolist()
     plain = [plain[i] for i in pick]
     both = _trained(plain, shared, 6)
     return Model(_trained(marked or plain, own, 6) + both, _trained(plain[::2], own, 8) + both)

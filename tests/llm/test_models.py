@@ -113,3 +113,11 @@ def test_neighbours_score_the_whole_list(spark):
     # a list in which the nearest come last
     state = spark.createDataFrame([(-1, x[0].tobytes(), order[::-1])], "query_id long, vec binary, ids array<long>")
     assert [r["vec_id"] for r in index._exact(state, 20).orderBy("rank").collect()] == order[:20]
+
+
+def test_dictionary_words_are_a_parameter(monkeypatch):
+    docs = [[b"word%d" % (i * 300 + j) for j in range(300)] for i in range(3)]
+    made = lambda: toxicity._dictionaries(docs, docs, (5,), 20, 4096, 4096).ordinary
+    whole = made()
+    monkeypatch.setattr(toxicity, "DICTIONARY_WORDS", 5)
+    assert len(made()) < len(whole)
