@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read
+from .common import partitions, read, ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECE = 1 << 15
@@ -40,6 +40,9 @@ FOREIGN = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endofte
 _CONTROLS = re.compile("(?=" + "|".join(map(re.escape, CONTROL + FOREIGN)) + ")(.)")
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
+#: A blank between what is no space and an ASCII letter always begins a word of the pattern.
+_BREAK = re.compile(r"(?<=\S) (?=[A-Za-z])")
+
 
 def escape(text: str) -> str:
     return _CONTROLS.sub(r"\1\\", text.replace("\\", "\\\\"))
@@ -50,7 +53,8 @@ def unescape(text: str) -> str:
 
 
 class Codec:
-    """Ordinary text to ids and back; pieces of at most SEGMENT characters, so that long runs stay cheap."""
+    """Ordinary text to ids and back. Long texts are encoded in pieces cut where the pattern begins a new word anyway, so that
+    their ids are those of the whole."""
 
     def __init__(self, vocabulary: bytes):
         self.vocabulary = vocabulary
@@ -73,9 +77,14 @@ class Codec:
         return self._encoding
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= SEGMENT:
-            return self.encoding.encode_ordinary(text)
-        return [x for i in range(0, len(text), SEGMENT) for x in self.encoding.encode_ordinary(text[i : i + SEGMENT])]
+        out, at = [], 0
+        while len(text) - at > SEGMENT:
+            cut = _BREAK.search(text, at + SEGMENT)
+            if cut is None:
+                break
+            out += self.encoding.encode_ordinary(text[at : cut.start()])
+            at = cut.start()
+        return out + self.encoding.encode_ordinary(text[at:] if at else text)
 
     def decode(self, ids) -> str:
         return self.encoding.decode_bytes(ids).decode()
@@ -104,10 +113,10 @@ _PIECES = "conv_id long, piece long, n_turns long, token_ids array<int>, loss_ma
 def format_conversations(conversations: DataFrame, vocabulary: str = VOCABULARY, piece: int = PIECE) -> DataFrame:
     """conv_id, piece (from 0), n_turns, token_ids, loss_mask. A conversation's pieces lie in order in one partition."""
     spark = conversations.sparkSession
-    held = spark.sparkContext.broadcast(codec(vocabulary))
+    held = ship(spark, codec(vocabulary))
 
     def encode(batches):
-        c = held.value
+        c = held()
         for b in batches:
             roles = [r or "" for r in b.column("role").to_pylist()]
             got = [turn_ids(c, r, t or "") for r, t in zip(roles, b.column("text").to_pylist(), strict=True)]
@@ -179,11 +188,11 @@ def readable(c: Codec, ids: np.ndarray) -> str:
 
 def digests(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """What the formatted conversations say, read back from ids and masks."""
-    held = formatted.sparkSession.sparkContext.broadcast(codec(vocabulary))
+    held = ship(formatted.sparkSession, codec(vocabulary))
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches):
-        c, conv, begun = held.value, None, False
+        c, conv, begun = held(), None, False
         n = chars = loss = 0
         turns, learnt = hashlib.sha256(), hashlib.sha256()
         out: list = []

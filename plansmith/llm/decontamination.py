@@ -9,7 +9,7 @@ The hash set is broadcast. Its size is bounded: the benchmark is taken in blocks
 (an item is never split), each block is one pass over the documents, and passes add up their hits.
 
 Defined results: a null or wordless document has no words, no hits and stays; items without words never occur; repeated
-items all count; extra columns of documents are left alone; empty tables give empty or hitless results.
+items all count; an item without an id hits, but isn't named; ids may be of any type; extra columns of documents are left alone; empty tables give empty or hitless results.
 """
 
 from __future__ import annotations
@@ -20,14 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import pieces, read, Scratch
+from .common import Scratch, pieces, read, schema_of, ship
 
 WINDOW = 13
 BLOCK_CHARS = 16_000_000
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_SCAN = "n_words long, hits array<struct<s:int,e:int>>, items array<long>"
+_SCAN = "n_words long, hits array<struct<s:int,e:int>>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -37,9 +38,9 @@ def words(text: str | None) -> list[bytes]:
 class WindowSet:
     """Windows of one block of items: by length, hashes over vocabulary ids, and the words with their items."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, list[int]]] = {}
+        self.windows: dict[int, dict[bytes, list]] = {}
         for item, text in items:
             ws = words(text)
             n = min(window, len(ws))
@@ -58,7 +59,7 @@ class WindowSet:
             h = (h ^ (h >> np.uint64(29))) * _MULT + ids[:, j]
         return h
 
-    def scan(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+    def scan(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Hit word intervals (start, end exclusive), and the items whose windows occur."""
         ids = np.fromiter(map(self.vocabulary.get, ws, repeat(0)), np.uint64, len(ws))
         run = np.concatenate(([0], np.cumsum(ids > 0)))
@@ -73,7 +74,7 @@ class WindowSet:
                     found = by.get(b" ".join(ws[i : i + n]))
                     if found:
                         hits.append((i, i + n))
-                        items.update(found)
+                        items.update(x for x in found if x is not None)
         return merged(hits), items
 
 
@@ -104,11 +105,11 @@ def without(text: str, hits: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[last:]]).decode()
 
 
-def _scanner(spark: SparkSession, block: list, window: int, first: bool):
-    held = spark.sparkContext.broadcast(WindowSet(block, window))
+def _scanner(spark: SparkSession, block: list, window: int, first: bool, kind: pa.DataType):
+    held = ship(spark, WindowSet(block, window))
 
     def scan(batches):
-        found = held.value
+        found = held()
         for b in pieces(batches):
             texts = b.column("text").to_pylist()
             hits_was, items_was = ([[]] * len(texts), [[]] * len(texts)) if first else (b.column("hits").to_pylist(), b.column("items").to_pylist())
@@ -120,22 +121,22 @@ def _scanner(spark: SparkSession, block: list, window: int, first: bool):
                 hits.append([{"s": s, "e": e} for s, e in merged(h + [(x["s"], x["e"]) for x in h0])])
                 items.append(sorted(i | set(i0)))
             own = [c for c in b.schema.names if c not in ("n_words", "hits", "items")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(items, pa.list_(pa.int64()))], names=[*own, "n_words", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(items, pa.list_(kind))], names=[*own, "n_words", "hits", "items"])
 
     return scan
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The given columns (text among them), n_words, hits (merged word intervals) and items (ids of items with occurring windows)."""
-    spark = docs.sparkSession
-    bench = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).filter("item_id IS NOT NULL")
+    """The given columns (text among them), n_words, hits (merged word intervals) and items (ids of items with occurring windows); given columns of these names give way."""
+    spark, docs = docs.sparkSession, docs.drop("n_words", "hits", "items")
+    bench = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     chars = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = -(-chars // block_chars) or 1
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema, kind = schema_of(docs), bench.schema["item_id"].dataType
     out, scratch, was = docs, Scratch(spark, "decontamination"), None
     for b in range(blocks):
         rows = bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        out = out.mapInArrow(_scanner(spark, sorted(map(tuple, rows)), window, b == 0), f"{schema}, {_SCAN}")
+        out = out.mapInArrow(_scanner(spark, sorted(map(tuple, rows), key=lambda r: (str(r[0]), r[1])), window, b == 0, to_arrow_type(kind)), f"{schema}, {_SCAN}, items array<{kind.simpleString()}>")
         if b + 1 < blocks:
             out = scratch.keep(out)
             scratch.drop(was)
@@ -166,7 +167,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     cols = docs.columns
     # the row's other columns travel as one struct, so that no name can clash
     packed = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(c) for c in cols if c not in ("doc_id", "text")]).alias("_rest"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema.fields)
+    schema = schema_of(packed)
     kept = scan_documents(packed, benchmark, window).filter(~contaminated()).select("doc_id", "text", "_rest", "hits").mapInArrow(cut, schema)
     out = kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.{c}").alias(c) for c in cols])
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in cols else out

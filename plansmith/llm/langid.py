@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold, pieces, read
+from .common import fold, pieces, read, schema_of, ship
 
 GRAMS = 3
 BUCKETS = 1 << 13
@@ -35,6 +35,8 @@ PER_LANG = 400
 PER_DOC = 3
 LANDMARKS = 256
 RIDGE = 1e-2
+#: The stage rejects documents whose best language has a lower score: no language is told.
+LEAST = 0.35
 #: Sharpness of the score: a softmax over the languages' outputs, which are near 1 and -1.
 SHARPNESS = 4.0
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -111,15 +113,22 @@ class Model:
         return [("und", 0.0) if d is None else (self.langs[b], float(s)) for d, b, s in zip(docs, best, share, strict=True)]
 
 
-def train(rows: list[tuple[str, str]]) -> Model:
-    """rows of (language, text)."""
+def picked(text: str | None) -> list[str]:
+    """At most PER_DOC windows of a text's letters, spread over it."""
+    d = letters(text)
+    if d is None:
+        return []
+    n = -(-len(d) // WINDOW)
+    return [d[i * WINDOW : (i + 1) * WINDOW] for i in sorted({round(k * (n - 1) / max(PER_DOC - 1, 1)) for k in range(PER_DOC)})]
+
+
+def train(rows: list[tuple[str, str | list[str] | None]]) -> Model:
+    """rows of (language, text, or windows picked of it)."""
     samples: dict[str, list[np.ndarray]] = {}
     for lang, text in rows:
-        d = letters(text)
-        if d is not None:
-            ws = windows_of(d)
-            at = sorted({round(k * (len(ws) - 1) / max(PER_DOC - 1, 1)) for k in range(PER_DOC)})
-            samples.setdefault(lang, []).extend(ws[i] for i in at)
+        ws = text if isinstance(text, list) else picked(text)
+        if ws:
+            samples.setdefault(lang, []).extend(np.frombuffer(w.encode("utf-32-le"), np.uint32) for w in ws)
     langs = sorted(samples)
     if not langs:
         return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
@@ -143,30 +152,36 @@ def train(rows: list[tuple[str, str]]) -> Model:
     return Model(langs, (land.T @ (half @ beta)).astype(np.float32), centre - mean @ beta)
 
 
-def training_rows(docs: DataFrame, learnt: Column | None = None) -> list[tuple[str, str]]:
-    """The bounded sample: ids first, from two narrow columns, then their texts. Ranks are limited before the shuffle."""
+def training_rows(docs: DataFrame, learnt: Column | None = None) -> list[tuple[str, list[str]]]:
+    """The bounded sample: ids first, from two narrow columns, then their texts, of which executors pick the windows. Ranks are
+    limited before the shuffle."""
+
+    def cut(batches):
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("doc_id"), pa.array([picked(t) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], names=["lang", "doc_id", "windows"])
+
     known = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL")
     if learnt is not None:
         known = known.filter(learnt)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = known.select("doc_id", "lang").withColumn("_r", rank).filter(F.col("_r") <= PER_LANG).select("doc_id", "lang")
     texts = docs.select("doc_id", "text", F.col("lang").alias("_lang"))
-    got = texts.join(F.broadcast(ids), "doc_id").filter("lang = _lang").select("lang", "text", "doc_id").dropDuplicates(["doc_id", "lang"]).collect()
-    return [(r[0], r[1]) for r in sorted(got, key=lambda r: (r[0], r[2]))]
+    got = texts.join(F.broadcast(ids), "doc_id").filter("lang = _lang").select("lang", F.col("doc_id").cast("string").alias("doc_id"), "text")
+    rows = got.mapInArrow(cut, "lang string, doc_id string, windows array<string>").groupBy("lang", "doc_id").agg(F.min("windows").alias("windows")).collect()
+    return [(r[0], list(r[2])) for r in sorted(rows)]
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The given columns (text among them), lang_pred and score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """The given columns (text among them), lang_pred and score; given columns of these names give way."""
+    held, docs = ship(docs.sparkSession, model), docs.drop("lang_pred", "score")
 
     def run(batches):
-        m = held.value
+        m = held()
         for b in pieces(batches):
             got = m.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema_of(docs)}, lang_pred string, score double")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,10 +201,10 @@ def lettered(docs: DataFrame) -> DataFrame:
 
 
 def keep_recognised(docs: DataFrame) -> DataFrame:
-    """Documents with letters stay; what is ``und`` goes. Where no document is labelled, so that all are ``und``, letters alone
-    decide. Columns stay as they are."""
+    """Documents that a language is told of stay; what is ``und`` goes, and what no language's score reaches ``LEAST`` for. Where
+    no document is labelled, so that all are ``und``, letters alone decide. Columns stay as they are."""
     model = train(training_rows(docs.select("doc_id", "lang", "text")))
     cols = docs.columns
     packed = docs.select("text", F.struct(*[F.col(c) for c in cols if c != "text"]).alias("_rest"))
-    kept = predict(packed, model).filter("lang_pred <> 'und'") if model.langs else lettered(packed)
+    kept = predict(packed, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST)) if model.langs else lettered(packed)
     return kept.select(*[F.col(c) if c == "text" else F.col(f"_rest.{c}").alias(c) for c in cols])

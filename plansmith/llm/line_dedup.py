@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, pieces, read, Scratch
+from .common import Scratch, partitions, pieces, read, salted, schema_of
 
 MIN_CHARS = 10
 #: Keys that one shard's filter is laid out for, and documents' salts that its probes are spread over.
 SHARD_KEYS = 50_000
 SALTS = 8
+#: How many times the keys that a new filter takes it has room for.
+ROOM = 2
 _SPACE = b" \t\n\x0b\x0c\r"
 _NO_ID = (1 << 63) - 1
 
@@ -178,7 +180,7 @@ def update_filters(filters: DataFrame | None, changes: DataFrame, shards: int) -
             if drop:
                 f.remove(np.frombuffer(b"".join(drop), np.uint8).reshape(-1, 16))
             if f is None:
-                f = CuckooFilter.sized(max(len(add), SHARD_KEYS // 64))
+                f = CuckooFilter.sized(max(ROOM * len(add), SHARD_KEYS // 64))
             if add:
                 f.add(np.frombuffer(b"".join(add), np.uint8).reshape(-1, 16))
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f.dump()], pa.binary())], names=["shard", "table"])
@@ -236,7 +238,7 @@ class LineIndex:
     """Incremental line dedup. ``insert`` takes documents with new ids, ``delete`` ids that were inserted."""
 
     def __init__(self, spark: SparkSession, least: int = MIN_CHARS, shards: int | None = None):
-        self.spark, self.least, self.shards = spark, least, shards
+        self.spark, self.least, self.fixed, self.shards, self.room = spark, least, shards, shards, 0
         self.scratch = Scratch(spark, "lines")
         self.postings = self.refs = self.filters = None
 
@@ -246,15 +248,17 @@ class LineIndex:
             self.postings = new
             self.refs = self.scratch.keep(_counts(new))
             shared = self.refs.filter("n_docs > 1")
-            if self.shards is None:
-                self.shards = max(4, -(-shared.count() // SHARD_KEYS))
-            self.filters = self.scratch.keep(build_filters(shared, self.shards))
+            self.filters = self._laid_out(shared, shared.count())
             return
         delta = _counts(new)
         refs = self.refs.select("key", "n_docs", "first_doc", F.lit(True).alias("old")).unionByName(delta.withColumn("old", F.lit(False)))
         merged = refs.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"), F.coalesce(F.sum(F.when(F.col("old"), F.col("n_docs"))), F.lit(0)).alias("was"))
         self._step(self.postings.unionByName(new), merged)
 
+    def _laid_out(self, shared: DataFrame, n: int) -> DataFrame:
+        self.shards, self.room = self.fixed or max(4, -(-n // SHARD_KEYS)), max(ROOM * n, SHARD_KEYS // 16)
+        return self.scratch.keep(build_filters(shared, self.shards))
+
     def delete(self, ids: DataFrame) -> None:
         """ids(doc_id). Keys of deleted documents get their counts and keeping documents anew."""
         gone = ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id")).distinct()
@@ -270,7 +274,10 @@ class LineIndex:
         merged = self.scratch.keep(merged)
         crossing = merged.filter("(n_docs > 1) <> (was > 1)").select("key", F.when(F.col("n_docs") > 1, 1).otherwise(-1).alias("sign"))
         self.postings = self.scratch.keep(posts)
-        self.filters = self.scratch.keep(update_filters(self.filters, crossing, self.shards))
+        shared = merged.filter("n_docs > 1")
+        n = shared.count()
+        # filters that the keys outgrow are laid out anew from the exact counts, over more shards
+        self.filters = self._laid_out(shared, n) if n > self.room else self.scratch.keep(update_filters(self.filters, crossing, self.shards))
         self.refs = self.scratch.keep(merged.filter("n_docs > 0").select("key", "n_docs", "first_doc"))
         self.scratch.drop(merged, *old)
 
@@ -278,11 +285,12 @@ class LineIndex:
         """doc_id and the keys whose lines it loses."""
         maybe = probe(self.postings, self.filters, self.shards)
         shared = self.refs.filter("n_docs > 1").select("key", "first_doc")
-        return maybe.join(shared, "key").filter("doc_id <> first_doc").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+        return salted(maybe, shared, "key", "doc_id").filter("doc_id <> first_doc").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
     def deduplicated(self, docs: DataFrame) -> DataFrame:
-        """The documents' columns, with n_lines, n_dropped and the kept text in ``kept``; docs must be indexed."""
-        least = self.least
+        """The documents' columns, with n_lines, n_dropped and the kept text in ``kept``; docs must be indexed. Given columns of
+        these names give way."""
+        least, docs = self.least, docs.drop("n_lines", "n_dropped", "kept", "_keys", "_drop_id")
 
         def keep(batches):
             for b in pieces(batches):
@@ -299,7 +307,7 @@ class LineIndex:
                 own = [c for c in b.schema.names if c != "_keys"]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], names=[*own, "n_lines", "n_dropped", "kept"])
 
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
+        schema = schema_of(docs)
         drops = self.drops().select(F.col("doc_id").alias("_drop_id"), F.col("keys").alias("_keys")).hint("shuffle_hash")
         return docs.join(drops, F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)) == drops["_drop_id"], "left").drop("_drop_id").mapInArrow(keep, f"{schema}, n_lines long, n_dropped long, kept string")
 

@@ -2,10 +2,11 @@
 
 Rules are regexes over ASCII classes. Their syntax trees become one non-deterministic automaton that may begin a match at
 any byte; subset construction over byte classes makes it deterministic, partition refinement minimises it, and the result
-is one flat transition array. Each text is read once, one array look-up a byte, whatever the number of rules. Only where a
-state accepts does the scan look for the span: the leftmost match from there back to the rule's last span, extended by the
-rule's own (anchored) automaton to its longest end. Spans of a rule never overlap; spans that are shorter than their rule
-asks for are dropped after they have consumed their text.
+is one flat transition array. Each text is read once, one array look-up a byte, whatever the number of rules. For a rule that
+accepts anywhere, the rule's reversed automaton reads back from where it last accepted and marks every byte that a match
+begins at; the leftmost mark behind the rule's last span begins the next, which the rule's own (anchored) automaton extends to
+its longest end. So time is linear in the text. Spans of a rule never overlap; spans that are shorter than their rule asks for
+are dropped after they have consumed their text.
 
 Rules must be such that the longest match from a start is the one that a backtracking matcher would find (greedy parts
 that can't give up characters to the next part): so are those below.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, read
+from .common import pieces, read, ship
 
 
 @dataclass(frozen=True)
@@ -68,6 +69,18 @@ class _Nfa:
             raise ValueError(f"unbalanced pattern {pattern!r}")
         return got
 
+    def turn(self) -> None:
+        """Reverses all edges. No state has two edges over bytes that lead to it."""
+        eps: list[list[int]] = [[] for _ in self.eps]
+        move: list[tuple[frozenset[int], int] | None] = [None] * len(self.move)
+        for x, to in enumerate(self.eps):
+            for y in to:
+                eps[y].append(x)
+        for x, m in enumerate(self.move):
+            if m is not None:
+                move[m[1]] = (m[0], x)
+        self.eps, self.move = eps, move
+
     def alternatives(self) -> tuple[int, int]:
         branches = [self.sequence()]
         while self.i < len(self.p) and self.p[self.i] == "|":
@@ -166,13 +179,18 @@ class Dfa:
     dead: int  # the state that no match leaves, or -1
 
 
-def compile_rules(rules: tuple[Rule, ...], anchored: bool = False) -> Dfa:
+def compile_rules(rules: tuple[Rule, ...], anchored: bool = False, backward: bool = False) -> Dfa:
+    """backward: an automaton that reads texts from their end and accepts where a match begins."""
     nfa = _Nfa()
     starts, ends = [], {}
     for k, r in enumerate(rules):
         s, e = nfa.build(r.pattern, r.any_case)
+        if backward:
+            s, e = e, s
         starts.append(s)
         ends[e] = k
+    if backward:
+        nfa.turn()
 
     def closure(states) -> frozenset[int]:
         seen, todo = set(states), list(states)
@@ -225,6 +243,7 @@ class Scanner:
         self.rules = rules
         self.all = compile_rules(rules)
         self.each = [compile_rules((r,), anchored=True) for r in rules]
+        self.back = [compile_rules((r,), backward=True) for r in rules]
 
     def longest(self, k: int, data: bytes, at: int) -> int:
         """The end of rule k's longest match that begins at a byte, or -1."""
@@ -242,24 +261,33 @@ class Scanner:
         """(start, end, rule) in bytes."""
         d = self.all
         t, least, s = d.table, d.accepting, d.start
-        upto = [0] * len(self.rules)
-        found = []
+        last: dict[int, int] = {}
         for i, b in enumerate(data):
             s = t[s + b]
             if s >= least:
                 for k in d.rules[s]:
-                    if i >= upto[k]:
-                        for p in range(upto[k], i + 1):
-                            e = self.longest(k, data, p)
-                            if e >= 0:
-                                upto[k] = e
-                                if self.holds(k, data, p, e):
-                                    found.append((p, e, k))
-                                break
-                        else:
-                            upto[k] = i + 1  # only a match that overlaps the last span
+                    last[k] = i + 1
+        found = []
+        for k, end in last.items():
+            upto = 0
+            for p in self.starts(k, data, end):
+                if p >= upto:
+                    upto = self.longest(k, data, p)
+                    if self.holds(k, data, p, upto):
+                        found.append((p, upto, k))
         return sorted(found)
 
+    def starts(self, k: int, data: bytes, end: int) -> list[int]:
+        """The bytes that matches of rule k begin at, the last of which ends at end."""
+        d = self.back[k]
+        t, least, s = d.table, d.accepting, d.start
+        out = []
+        for i in range(end - 1, -1, -1):
+            s = t[s + data[i]]
+            if s >= least:
+                out.append(i)
+        return out[::-1]
+
     def holds(self, k: int, data: bytes, start: int, end: int) -> bool:
         r = self.rules[k]
         if end - start < r.total or not r.value:
@@ -293,11 +321,11 @@ _FOUND = "spans array<struct<kind:string,s:int,e:int,base:boolean>>"
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, text and spans (kind, start, end, whether of a base rule)."""
-    scanner = docs.sparkSession.sparkContext.broadcast(Scanner(rules))  # its size depends on the rules alone
+    scanner = ship(docs.sparkSession, Scanner(rules))  # its size depends on the rules alone
     kind = pa.list_(pa.struct([("kind", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("base", pa.bool_())]))
 
     def run(batches):
-        sc = scanner.value
+        sc = scanner()
         for b in pieces(batches):
             out = [[{"kind": sc.rules[k].kind, "s": s, "e": e, "base": sc.rules[k].base} for s, e, k in spans(t, sc)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(out, kind)], names=["doc_id", "text", "spans"])
@@ -324,3 +352,26 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(F.filter("spans", lambda x: x["base"])), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
+
+def _matches_sql(kind: str, pattern: str, keep: str) -> str:
+    """Spans of one rule: texts are split at marks put round the matches, which then are every second piece."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, s, s + length(m) AS e FROM (
+  SELECT doc_id, p[2 * i] AS m, CAST(list_sum(list_transform(p[1:2 * i - 1], lambda x: length(x))) AS BIGINT) AS s
+  FROM (SELECT doc_id, p, unnest(generate_series(1, len(p) // 2)) AS i FROM (
+    SELECT doc_id, string_split(regexp_replace(text, '{quoted}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS p FROM documents WHERE regexp_matches(text, '{quoted}')))) WHERE {keep}"""
+
+
+_ASSIGN_SQL = "(?i)" + RULES[0].pattern
+_SPANS_SQL = " UNION ALL ".join(
+    _matches_sql(r.kind, _ASSIGN_SQL if r.any_case else r.pattern, f"""length(regexp_replace(m, '^[^:=]*[:=] *["'']?', '')) >= {r.value}""" if r.value else f"length(m) >= {r.total}") for r in RULES
+)
+ORACLE_SQL = {
+    "op9_secrets": f"""
+WITH m AS ({_SPANS_SQL}),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, e, list_position({[r.kind for r in RULES]}, kind)) AS spans,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, e, list_position({[r.kind for r in RULES]}, kind)) FILTER (kind IN {tuple(r.kind for r in RULES if r.base)}) AS base FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)"""
+}

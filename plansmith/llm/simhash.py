@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import partitions, pieces, read, Scratch
+from .common import Scratch, partitions, pieces, read, salted
 
 SHINGLE = 4
 RADIUS = 4
@@ -53,14 +53,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, hash (of the text) and fp, the fingerprint as a signed long."""
 
     def run(batches):
         for b in pieces(batches):
             fps = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array(fps.view(np.int64))], names=["doc_id", "hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -188,18 +188,18 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, words: in
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): for each node of an edge the smallest node that it reaches. Alternating large and small stars until
     nothing changes; each half step is a grouped minimum, partly summed before the shuffle, and a join."""
-    cur = scratch.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    cur = scratch.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), few=True)
     was = None
     while True:
         # large star: every neighbour above a node goes to the least of its neighbourhood
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = salted(both, low, "u", "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: a node's lower neighbours go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
-        nxt = scratch.keep(small)
+        nxt = scratch.keep(small, few=True)
         now = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(cur)
         scratch.tidy()
@@ -210,15 +210,16 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
 
 
 def cluster(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, words: int = 2, crowd: int = CROWD) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable)."""
+    """doc_id, hash (of the text), fp, root (a fingerprint that names the component) and component_id (the smallest doc_id
+    reachable)."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.keep(fingerprints(docs, shingle))
+    prints = scratch.keep(fingerprints(docs, shingle), few=True)
     nodes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes, scratch, radius, words, crowd), scratch)
     labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.keep(labelled.join(ids, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = scratch.keep(labelled.join(ids, "root").select("fp", "root", "component_id"))
+    return salted(prints, named, "fp", "doc_id").select("doc_id", "hash", "fp", "root", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +228,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, that with its smallest doc_id; rows that repeat that id stay with it. Rows
-    without an id can't be named and all stay."""
-    found = cluster(docs.select("doc_id", "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_kept_id"], "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each component stays: that with its smallest doc_id, of several that bear it (or of those without an id,
+    where no other has one) that with the least hash of its text, and one of rows alike in both."""
+    scratch = Scratch(docs.sparkSession, "near")
+    found = cluster(docs.select("doc_id", "text"))
+    least = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("hash").alias("h"))
+    # rows alike are counted on the way
+    rows = found.groupBy("root", "doc_id", "hash").agg(F.count(F.lit(1)).alias("copies")).groupBy("root").agg(F.min(F.struct(least.alias("k"), "copies")).alias("m"))
+    kept = scratch.keep(rows.select(F.col("m.k.id").alias("_kept_id"), F.col("m.k.h").alias("_kept_hash"), "m.copies"), few=True)
+    _id, _hash = F.col("doc_id").cast("long"), F.xxhash64("text")
+    one = kept.filter("copies = 1")
+    out = docs.join(one, _id.eqNullSafe(F.col("_kept_id")) & (_hash == F.col("_kept_hash")), "left_semi")
+    more = kept.filter("copies > 1")
+    if more.isEmpty():
+        return out
+    packed = docs.select(F.struct(*docs.columns).alias("_doc")).join(more, F.col("_doc.doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64("_doc.text") == F.col("_kept_hash")))
+    single = packed.groupBy("_kept_id", "_kept_hash").agg(F.any_value("_doc").alias("_doc"))
+    return out.unionByName(single.select("_doc.*"))

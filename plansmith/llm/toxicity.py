@@ -30,7 +30,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, pieces, read
+from .common import fold, pieces, read, schema_of, ship
 
 TOXIC, ORDINARY = 3000, 6000
 TRAIN_WORDS = 4000
@@ -175,25 +175,31 @@ def train(rows: list[tuple[int, str | None]], settings=SETTINGS) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learnt: Column) -> list[tuple[int, str | None]]:
-    """The bounded sample: ids from the labels alone, then one join of these few ids with the texts."""
+    """The bounded sample: ids from the labels alone, then one join of these few ids with the texts, which executors cut."""
+
+    def cut(batches):
+        for b in pieces(batches):
+            texts = [b" ".join(_spread(words(t))).decode() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(texts, pa.string())], names=["doc_id", "toxic", "text"])
+
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(learnt).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.filter("toxic = 1").orderBy(*by).limit(TOXIC).unionByName(known.filter("toxic = 0").orderBy(*by).limit(ORDINARY))
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text").collect()
-    return [(r[1], r[2]) for r in sorted(got, key=lambda r: (r[0], r[2] or ""))]
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text")
+    got = got.mapInArrow(cut, "doc_id string, toxic int, text string").collect()
+    return [(r[1], r[2]) for r in sorted(got)]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The given columns (text among them) and score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """The given columns (text among them) and score; a given column of that name gives way."""
+    held, docs = ship(docs.sparkSession, model), docs.drop("score")
 
     def run(batches):
-        m = held.value
+        m = held()
         for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.score(t) for t in b.column("text").to_pylist()], pa.float64())], names=[*b.schema.names, "score"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, score double")
+    return docs.mapInArrow(run, f"{schema_of(docs)}, score double")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
