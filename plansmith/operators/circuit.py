@@ -7,6 +7,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +90,11 @@ def feature_space(features: DataFrame, states: DataFrame, limits: tuple[int, int
     return all_.select("feature", family.alias("family"), (F.row_number().over(Window.orderBy(rank, "feature")) - 1).alias("feature_id"))
 
 
+def local(space: DataFrame) -> DataFrame:
+    """A feature space as a table of its own, computed once: its limits bound it."""
+    return space.sparkSession.createDataFrame(space.collect(), space.schema)
+
+
 def with_pairs(features: DataFrame, space: DataFrame) -> DataFrame:
     """Features (state_id, feature) restricted to the space, its pairs among them."""
     kept = features.join(F.broadcast(space.select("feature")), "feature")
@@ -135,11 +141,75 @@ class Projection:
     divergence: float
 
 
+PATTERNS = 100_000
+
+
+def _sums(has, mass, m: int, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Of patterns with masses: the greatest exponent, and the sums of exp, f·exp and ff'·exp relative to it."""
+    f = np.zeros((len(has), m))
+    for i, x in enumerate(has):
+        f[i, list(x)] = 1
+    z = np.log(np.asarray(mass, float)) + f @ w
+    top = z.max()
+    e = np.exp(z - top)
+    return top, e.sum(), f.T @ e, (f * e[:, None]).T @ f
+
+
+def _moments(patterns: DataFrame, m: int):
+    """A function of w: log Z, mean and covariance of the features under the tilted distribution."""
+    few = patterns.limit(PATTERNS + 1).collect()
+    if len(few) <= PATTERNS:
+        part = lambda w: [_sums([r["_has"] for r in few], [r["p"] for r in few], m, w)]
+    else:
+        held = patterns.persist()
+
+        def part(w):
+            def run(batches):
+                for b in batches:
+                    if len(b):
+                        top, *sums = _sums(b.column("_has").to_pylist(), b.column("p").to_numpy(), m, w)
+                        yield pa.RecordBatch.from_arrays([pa.array([top]), *(pa.array([np.asarray(x, float).tobytes()], pa.binary()) for x in sums)], names=["top", "e", "f", "ff"])
+
+            got = held.mapInArrow(run, "top double, e binary, f binary, ff binary").collect()
+            return [(r[0], np.frombuffer(r[1])[0], np.frombuffer(r[2]), np.frombuffer(r[3]).reshape(m, m)) for r in got]
+
+    def moments(w):
+        parts = part(w)
+        top = max(p[0] for p in parts)
+        scale = [np.exp(p[0] - top) for p in parts]
+        e, f, ff = (sum(k * p[i] for k, p in zip(scale, parts, strict=True)) for i in (1, 2, 3))
+        return top + np.log(e), f / e, ff / e - np.outer(f / e, f / e)
+
+    return moments
+
+
+def _newton(moments, t: np.ndarray, tolerance: float) -> tuple[float, np.ndarray, np.ndarray, int]:
+    w, steps = np.zeros(len(t)), 0
+    log_z, mean, cov = moments(w)
+    for steps in range(1, 1001):
+        grad = mean - t
+        if np.abs(grad).max() <= tolerance * 1e-3:
+            break
+        d = np.linalg.solve(cov + 1e-10 * np.eye(len(t)), -grad)
+        size = 1.0
+        while True:
+            got = moments(w + size * d)
+            if got[0] - (w + size * d) @ t <= log_z - w @ t + 1e-4 * size * (grad @ d) or size < 1e-8:
+                break
+            size /= 2
+        if size < 1e-8:
+            break
+        w = w + size * d
+        log_z, mean, cov = got
+    return float(log_z), mean, w, steps
+
+
 def project(states: DataFrame, features: DataFrame, goal: DataFrame, tolerance: float = 1e-6, limit: int = 64) -> Projection:
     """The distribution nearest to p in Kullback-Leibler divergence whose targeted marginals are met: p·exp(F·w)/Z.
 
-    States matter only by which of the targeted features (at most ``limit``) they have. Their masses by that pattern are one
-    grouped sum; on these the driver solves for w by damped Newton steps."""
+    States matter only by which of the targeted features (at most ``limit``) they have: their masses are summed by that pattern.
+    The driver solves for w by damped Newton steps; each needs the moments of the tilted patterns, which come from one array
+    where patterns are few and from sums by partition where they aren't."""
     wanted = goal.orderBy("feature").limit(limit + 1).collect()
     if len(wanted) > limit:
         raise ValueError("too many targets")
@@ -150,44 +220,16 @@ def project(states: DataFrame, features: DataFrame, goal: DataFrame, tolerance:
     index = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
     has = features.filter(F.col("feature").isin(names)).groupBy("state_id").agg(F.array_sort(F.collect_set(index[F.col("feature")])).alias("_has"))
     known = states.join(has, "state_id", "left").withColumn("_has", F.coalesce("_has", F.array().cast("array<int>")))
-    rows = known.groupBy("_has").agg(F.sum("p").alias("p")).collect()
-    f = np.zeros((len(rows), len(names)))
-    for i, r in enumerate(rows):
-        f[i, list(r["_has"])] = 1
-    mass = np.array([r["p"] for r in rows])
-    w, steps = np.zeros(len(names)), 0
-
-    def dual(w):
-        z = np.log(mass) + f @ w
-        top = z.max()
-        return top + np.log(np.exp(z - top).sum()) - w @ t, np.exp(z - top) / np.exp(z - top).sum()
-
-    value, q = dual(w)
-    for steps in range(1, 1001):
-        grad = f.T @ q - t
-        if np.abs(grad).max() <= tolerance * 1e-3:
-            break
-        cov = (f * q[:, None]).T @ f - np.outer(f.T @ q, f.T @ q)
-        d = np.linalg.solve(cov + 1e-10 * np.eye(len(w)), -grad)
-        size = 1.0
-        while True:
-            new, q2 = dual(w + size * d)
-            if new <= value + 1e-4 * size * (grad @ d) or size < 1e-8:
-                break
-            size /= 2
-        if size < 1e-8:
-            break
-        w, value, q = w + size * d, new, q2
-    violation = float(np.abs(f.T @ q - t).max())
+    patterns = known.filter("p > 0").groupBy("_has").agg(F.sum("p").alias("p"))
+    log_z, mean, w, steps = _newton(_moments(patterns, len(names)), t, tolerance)
+    violation = float(np.abs(mean - t).max())
     if violation > tolerance:
         raise ValueError(f"targets can't be met: off by {violation}")
-    z = np.log(mass) + f @ w
-    log_z = float(z.max() + np.log(np.exp(z - z.max()).sum()))
     tilt = F.lit(0.0)
     for i, x in enumerate(w.tolist()):
         tilt = tilt + F.when(F.array_contains("_has", i), F.lit(x)).otherwise(F.lit(0.0))
     out = known.withColumn("p", F.col("p") * F.exp(tilt - F.lit(log_z))).drop("_has")
-    return Projection(out, dict(zip(names, w.tolist(), strict=True)), steps, violation, float((q * (np.log(q) - np.log(mass))).sum()))
+    return Projection(out, dict(zip(names, w.tolist(), strict=True)), steps, violation, float(mean @ w - log_z))
 
 
 def sampling_report(drawn: DataFrame, states: DataFrame, features: DataFrame) -> DataFrame:

@@ -96,7 +96,11 @@ def realizations(plan: Column) -> Column:
 
 
 def _quoted(x: Column) -> Column:
-    return F.regexp_extract(F.to_json(F.struct(x.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    """A JSON string literal in ASCII: other characters by their UTF-16 units."""
+    plain = F.regexp_extract(F.to_json(F.struct(x.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    one = lambda c: F.when(F.rlike(c, F.lit(r"^[\x00-\x7F]$")), c).otherwise(units(c))
+    return F.when(F.rlike(plain, F.lit(r"[^\x00-\x7F]")), F.array_join(F.transform(F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0)), one), "")).otherwise(plain)
 
 
 def serialize(plan: Column) -> Column:
@@ -149,15 +153,17 @@ def next_tokens(edges: DataFrame, state: str) -> DataFrame:
     return edges.filter(F.col("state") == state).select("token").distinct()
 
 
-def run_automaton(edges: DataFrame, seq: list[str], state: str = "") -> str | None:
-    """The state after a sequence, or None where a step is illegal. One small look-up a token; for many sequences use
-    ``accepts``."""
-    for t in seq:
-        nxt = edges.filter((F.col("state") == state) & (F.col("token") == t)).select("next").first()
-        if nxt is None:
-            return None
-        state = nxt[0]
-    return state
+def run_automaton(edges: DataFrame, seq: list[str]) -> str | None:
+    """The state after a sequence, or None where a step is illegal: states are named by their prefixes, so one join holds all
+    steps against the edges. For many sequences use ``accepts``."""
+    if not seq:
+        return ""
+    spark = edges.sparkSession
+    name = lambda x: F.when(F.size(x) == 0, F.lit("")).otherwise(F.substring(F.sha2(F.to_json(x), 256), 1, 16))
+    one = spark.createDataFrame([(seq,)], "_s array<string>").select("_s", F.explode(F.sequence(F.lit(1), F.size("_s"))).alias("_i"))
+    steps = one.select("_i", name(F.slice("_s", F.lit(1), F.col("_i") - 1)).alias("state"), F.element_at("_s", F.col("_i")).alias("token"), name(F.slice("_s", F.lit(1), F.col("_i"))).alias("next"))
+    met = edges.select("state", "token", "next").join(F.broadcast(steps), ["state", "token", "next"]).select("_i", "next").distinct().collect()
+    return max(met)[1] if len(met) == len(seq) else None
 
 
 def post_validation(plan: Column, text: Column, schema_valid: Column, fsa_accepted: Column) -> Column:

@@ -22,7 +22,7 @@ def find_object(text: str | None) -> str | None:
             value, end = _DECODER.raw_decode(text, at)
             if isinstance(value, dict):
                 return text[at:end]
-        except ValueError:
+        except (ValueError, RecursionError):  # nested deeper than the decoder goes: no object that could be a plan
             pass
         at = text.find("{", at + 1)
     return None

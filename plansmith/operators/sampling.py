@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.allocation import apportion, half_up_count, largest_remainder, smooth_schedule
-from ..functions.canon import json_string, ranked, stable_rank, uniform
+from ..functions.canon import bucket, edges, json_string, numbered, ranked, stable_rank, uniform
 
 
 def strata(keys: list[str]) -> F.Column:
@@ -76,8 +76,24 @@ def group_split(df: DataFrame, group: str, fractions: dict[str, float], seed: in
     return df.join(dest, df[group].eqNullSafe(F.col("_g"))).drop("_g")
 
 
+#: Totals up to this are solved exactly; of larger ones the largest items that leave at least this are taken first.
+EXACT = 1 << 20
+
+
 def _subset(items: list[int], target: int) -> set[int]:
-    """Indices of items whose sizes sum to the greatest reachable total up to the target."""
+    """Indices of items whose sizes sum to the target."""
+    if target > EXACT:
+        taken, left = set(), target
+        for i in sorted(range(len(items)), key=lambda i: -items[i]):
+            if left - items[i] >= EXACT // 2:
+                taken.add(i)
+                left -= items[i]
+        rest = [i for i in range(len(items)) if i not in taken]
+        return taken | {rest[i] for i in _solved([items[i] for i in rest], left)}
+    return _solved(items, target)
+
+
+def _solved(items: list[int], target: int) -> set[int]:
     come: dict[int, tuple[int, int]] = {0: (-1, 0)}
     for i, size in enumerate(items):
         for t in sorted(come, reverse=True):
@@ -130,11 +146,22 @@ def weighted_draw(states: DataFrame, draws: DataFrame, order: str, weight: str =
 
     The range join is an equi-join on slices of [0, 1): a state is listed under each slice that its interval touches."""
     keys = within or []
-    w = Window.partitionBy(*keys).orderBy(order)
-    cum = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum(weight).over(Window.partitionBy(*keys))
-    s = states.filter(F.col(weight) > 0).withColumn("_hi", cum / total).withColumn("_lo", F.lag("_hi", 1, 0.0).over(w))
-    s = s.withColumn("_hi", F.when(F.lead("_hi").over(w).isNull(), F.lit(1.0)).otherwise(F.col("_hi"))).filter("_hi > _lo")
+    some = states.filter(F.col(weight) > 0)
+    s = some.withColumn("_bucket", bucket(order, edges(some, order)))
+    # cumulative weights: within buckets of the order, on top of what the buckets before hold
+    of, at = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_b")
+    sums = s.groupBy(*keys, F.col("_bucket").alias("_b")).agg(F.sum(weight).alias("_w"))
+    sums = sums.withColumn("_stop", F.sum("_w").over(at)).withColumn("_total", F.sum("_w").over(of)).withColumn("_last", F.lead("_b").over(at).isNull())
+    sums = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_b", F.lag("_stop", 1, 0).over(at).alias("_start"), "_stop", "_total", "_last")
+    on = F.col("_bucket") == F.col("_b")
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    w = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    s = s.join(F.broadcast(sums) if not keys else sums, on)
+    s = s.withColumn("_run", F.col("_start") + F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    end = F.when(F.lead("_run").over(w).isNotNull(), F.col("_run") / F.col("_total")).when(F.col("_last"), F.lit(1.0)).otherwise(F.col("_stop") / F.col("_total"))
+    s = s.withColumn("_lo", F.coalesce(F.lag("_run").over(w), F.col("_start")) / F.col("_total")).withColumn("_hi", end).filter("_hi > _lo")
+    s = s.drop("_bucket", "_b", "_start", "_stop", "_total", "_last", "_run", *[f"_k_{k}" for k in keys])
     s = s.withColumn("_slice", F.explode(F.sequence(F.floor(F.col("_lo") * SLICES), F.least(F.floor(F.col("_hi") * SLICES), F.lit(SLICES - 1)))))
     d = draws.withColumn("_slice", F.floor(F.col("u") * SLICES))
     return d.join(s, [*keys, "_slice"]).filter("u >= _lo AND u < _hi").drop("_slice", "_lo", "_hi")
@@ -149,7 +176,7 @@ def scheduled(pool: DataFrame, id_col: str, domain: str, weights: dict[str, floa
     lacking = [r[0] for r in steps.select("_domain").distinct().join(sizes, F.col("_domain") == F.col(domain), "left_anti").collect()]
     if lacking:
         raise ValueError(f"no pool for {lacking}")
-    order = pool.withColumn("_r", F.row_number().over(Window.partitionBy(domain).orderBy(id_col)) - 1)
+    order = numbered(pool, [domain], id_col, "_r").withColumn("_r", F.col("_r") - 1)
     at = steps.join(sizes, F.col("_domain") == F.col(domain)).select("step", "_domain", F.pmod("_k", "_n").alias("_at"))
     return at.join(order, (F.col("_domain") == F.col(domain)) & (F.col("_at") == F.col("_r"))).drop("_domain", "_at", "_r")
 
@@ -163,6 +190,7 @@ def capped_accept(candidates: DataFrame, domain: str, quotas: dict[str, int], or
     """Accepted candidates up to each domain's quota; fewer than a quota asks for is an error."""
     q = candidates.sparkSession.createDataFrame([(k, int(v)) for k, v in quotas.items()], f"{domain} string, _quota long")
     r = candidates.filter(accepted).withColumn("_r", F.row_number().over(Window.partitionBy(domain).orderBy(*order)))
+    r = r.filter(F.col("_r") <= max(quotas.values(), default=0))  # a constant: rows beyond it go before the shuffle
     out = r.join(F.broadcast(q), domain).filter("_r <= _quota").drop("_r", "_quota")
     short = q.join(out.groupBy(domain).count(), domain, "left").filter("coalesce(count, 0) < _quota").collect()
     if short:
@@ -170,4 +198,4 @@ def capped_accept(candidates: DataFrame, domain: str, quotas: dict[str, int], or
     return out
 
 
-__all__ = ["capped_accept", "exact_group_split", "group_split", "half_up_count", "hash_uniforms", "numpy_uniforms", "rotation", "scheduled", "shuffled", "strata", "stratified_sample", "two_stage_sample", "weighted_draw"]
+__all__ = ["capped_accept", "exact_group_split", "group_split", "hash_uniforms", "numpy_uniforms", "rotation", "scheduled", "shuffled", "strata", "stratified_sample", "two_stage_sample", "weighted_draw"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canon import canonical_text, contains_phrase, let
-from ..plans.model import ERROR, PLAN, TRIPLE
+from ..plans.model import ERROR, PLAN
 from .realize import plan_terms
 
 #: Scripts that a Vietnamese review can't hold: CJK, kana, Hangul, Cyrillic, Arabic and Thai blocks.
@@ -39,14 +39,16 @@ def triple_errors(plan: str = "plan", c: str = "constraints") -> str:
     same = "struct(x.subject, x.predicate, x.object) = struct(y.subject, y.predicate, y.object)"
     rules = [
         _err("required", path, "subject, predicate and object are required", " OR ".join(_blank(f"x.{k}") for k in ("subject", "predicate", "object"))),
-        _err("relation", path, "predicate is not allowed", f"NOT array_contains({c}.allowed_predicates, x.predicate)"),
+        _err("relation", path, "predicate is not allowed", f"{c}.allowed_predicates IS NOT NULL AND NOT coalesce(array_contains({c}.allowed_predicates, x.predicate), false)"),
         _err("domain", path, "subject type does not fit the predicate", f"{c}.domain_range[x.predicate][0] IS NOT NULL AND NOT x.subject_type <=> {c}.domain_range[x.predicate][0]"),
         _err("range", path, "object type does not fit the predicate", f"{c}.domain_range[x.predicate][1] IS NOT NULL AND NOT x.object_type <=> {c}.domain_range[x.predicate][1]"),
         _err("grounding", path, "triple is not in the source", f"{c}.allowed_triples IS NOT NULL AND NOT exists({c}.allowed_triples, y -> {same})"),
         _err("duplicate", path, "triple repeats an earlier one", f"exists(slice({t}, 1, i), y -> {same})"),
-        _err("disjoint", path, "subject and object types are disjoint", f"exists({c}.disjoint_types, d -> array_contains(d, x.subject_type) AND array_contains(d, x.object_type) AND x.subject_type <> x.object_type)"),
     ]
-    return f"CASE WHEN {t} IS NULL OR size({t}) = 0 THEN {_err('required', repr('triples'), 'a plan needs triples', 'true')} ELSE {_all(_err('cardinality', repr('triples'), 'number of triples out of bounds', f'{c}.cardinality IS NOT NULL AND NOT size({t}) BETWEEN {c}.cardinality[0] AND {c}.cardinality[1]'), _per(t, rules))} END"
+    both = "d[0] <> d[1] AND array_contains(array(x.subject_type, x.object_type), d[0]) AND array_contains(array(x.subject_type, x.object_type), d[1])"
+    # pair by pair over all triples, behind all other rules
+    apart = f"coalesce(flatten(transform({c}.disjoint_types, d -> flatten(transform({t}, (x, i) -> {_err('disjoint', path, 'subject and object types are disjoint', both)})))), {_NONE})"
+    return f"CASE WHEN {t} IS NULL OR size({t}) = 0 THEN {_err('required', repr('triples'), 'a plan needs triples', 'true')} ELSE {_all(_err('cardinality', repr('triples'), 'number of triples out of bounds', f'{c}.cardinality IS NOT NULL AND NOT size({t}) BETWEEN {c}.cardinality[0] AND {c}.cardinality[1]'), _per(t, rules), apart)} END"
 
 
 def cell_errors(plan: str = "plan", c: str = "constraints", schema_id: str = "schema_id") -> str:
@@ -152,5 +154,3 @@ def realized_valid(v: str = "validation") -> Column:
     """All flags hold, and the automaton, where there was one, accepted."""
     return F.expr(f"{v}.parse_valid AND {v}.plan_consistent AND {v}.schema_valid AND {v}.required_entities_present AND {v}.required_relations_present AND coalesce({v}.fsa_accepted, true)")
 
-
-TRIPLE_TYPE = TRIPLE

@@ -5,10 +5,9 @@ from __future__ import annotations
 import inspect
 import json
 from collections.abc import Iterable
-from pathlib import Path
 
 from ..functions.canon import digest
-from ..sources.sinks import write_json
+from ..sources.sinks import Files, write_json
 
 STAGES = ("records", "silver", "fit", "project", "plans", "student", "outputs", "metrics")
 #: Which stages a stage reads, and which parts of the configuration it depends on.
@@ -36,16 +35,17 @@ def code_hash(functions: Iterable) -> str:
 
 
 class ManifestStore:
-    def __init__(self, root: str | Path, config: dict, code: dict[str, str] | None = None):
-        self.root, self.config, self.code = Path(root), config, code or {}
+    def __init__(self, root: object, config: dict, code: dict[str, str] | None = None):
+        self.root, self.config, self.code, self.files = str(root), config, code or {}, Files()
 
-    def path(self, stage: str) -> Path:
-        return self.root / "manifests" / f"{stage}.json"
+    def path(self, stage: str) -> str:
+        return f"{self.root}/manifests/{stage}.json"
 
     def load(self, stage: str) -> dict | None:
+        text = self.files.read(self.path(stage))
         try:
-            return json.loads(self.path(stage).read_text(encoding="utf-8"))
-        except (FileNotFoundError, ValueError):
+            return None if text is None else json.loads(text)
+        except ValueError:
             return None
 
     def save(self, stage: str, status: str, counts: dict[str, int] | None = None, artifacts: dict[str, str] | None = None, error: str | None = None) -> dict:
@@ -53,7 +53,7 @@ class ManifestStore:
         up = {u: (self.load(u) or {}).get("self") for u in UPSTREAM[stage]}
         m = {"stage": stage, "status": status, "config": config_hash(self.config, stage), "code": self.code.get(stage, ""), "counts": counts or {}, "artifacts": artifacts or {}, "upstream": up, "error": error}
         m["self"] = digest(m)
-        write_json(self.path(stage), m)
+        write_json(self.path(stage), m, self.files)
         return m
 
     def check(self, stage: str, artifacts: dict[str, str] | None = None) -> tuple[bool, str]:

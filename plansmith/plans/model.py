@@ -18,7 +18,9 @@ CONSTRAINTS = (
     f"field_value_types:map<string,string>,allowed_values:map<string,array<string>>,grid_size:int,categories:map<string,array<string>>,clues:array<{CLUE}>,"
     f"allowed_aspects:array<string>,allowed_sentiments:array<string>,required_pairs:array<array<string>>,required_others:boolean>"
 )
-RECORD = f"source_id string, dataset string, domain string, official_split string, schema_id string, reference_plan {PLAN}, reference_text string, record_sha256 string"
+#: What records are stratified and grouped by; null where their family has no such thing.
+STRATA = "category string, triple_count int, source string, schema_cardinality int, grid_size int, clue_count int, clue_type array<string>, puzzle_family string, n_star int"
+RECORD = f"source_id string, dataset string, domain string, official_split string, schema_id string, reference_plan {PLAN}, reference_text string, record_sha256 string, {STRATA}"
 
 # Domains, datasets, aspects and sentiments with their Vietnamese names, clue types, grid shapes.
 TRIPLE_DOMAINS = ("webnlg",)

@@ -9,9 +9,9 @@ from __future__ import annotations
 import argparse
 import json
 from functools import reduce
-from pathlib import Path
 from typing import Protocol
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +48,8 @@ class Pipeline:
         self.root = config["runtime"]["root"]
         self.code = {s: code_hash([getattr(Pipeline, s), circuit.fit, records.normalize, validate.errors, realize.facts, sampling.stratified_sample, evaluate.quality, C.clean, A.apportion]) for s in STAGES}
         self.store = ManifestStore(self.root, config, self.code)
-        self.log = sinks.EventLog(Path(self.root) / "events.jsonl")
+        self.files = self.store.files
+        self.log = sinks.EventLog(f"{self.root}/events", self.files)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
@@ -128,7 +129,7 @@ class Pipeline:
         p = circuit.project(states, features, goal, c["tolerance"])
         self.write(p.states, "projected")
         outside = self.table("projected").select("source_id", "plan", "domain").join(self.table("schemas").select("source_id", "schema_id", "constraints"), "source_id").filter(F.size(validate.errors()) > 0).count()
-        sinks.write_json(Path(self.root) / "projection.json", {"iterations": p.iterations, "violation": p.violation, "kl": p.divergence, "multipliers": p.multipliers, "invalid_states": outside})
+        sinks.write_json(f"{self.root}/projection.json", {"iterations": p.iterations, "violation": p.violation, "kl": p.divergence, "multipliers": p.multipliers, "invalid_states": outside}, self.files)
         return ["projected"]
 
     def plans(self) -> list[str]:
@@ -155,7 +156,7 @@ class Pipeline:
         if both:
             raise ValueError("a source lies on both sides of the split")
         steps = A.optimizer_steps(n - held, c["epochs"], c["micro_batch"], c["accumulation"])
-        sinks.write_json(Path(self.root) / "student.json", {"train": n - held, "validation": held, "steps": steps, "checkpoints": A.checkpoint_steps(steps, c["every"], c["steps"])})
+        sinks.write_json(f"{self.root}/student.json", {"train": n - held, "validation": held, "steps": steps, "checkpoints": A.checkpoint_steps(steps, c["every"], c["steps"])}, self.files)
         return ["student_rows"]
 
     def outputs(self) -> list[str]:
@@ -192,30 +193,30 @@ class Pipeline:
         o = o.join(schemas.select("source_id", "schema_id", "constraints"), "source_id")
         o = o.withColumn("plan_valid", F.size(validate.errors()) == 0)
         o = o.withColumn("validation", realize.post_validation(F.col("plan"), F.col("text"), F.col("plan_valid"), F.col("fsa")))
-        group = r.select("source_id", F.regexp_replace("schema_id", r"^[^:]*:", "").alias("group"))
+        group = r.select("source_id", records.record_group(F.col("domain"), F.col("category"), F.col("source"), F.col("n_star")).alias("group"))
         o = o.join(group, "source_id", "left").withColumns({"dataset": records.dataset_name(F.col("domain")), "group": F.coalesce("group", "domain"), "token_log_probabilities": F.array().cast("array<double>"), "generation_ms": F.lit(0.0)})
         self.write(o.drop("constraints", "schema_id", "fsa"), "outputs")
         return ["outputs"]
 
     def metrics(self) -> list[str]:
         o = self.table("outputs")
-        off = evaluate.aligned(o).filter("NOT same").count()
+        off = evaluate.aligned(o, cfg.budgets(self.config)).filter("NOT same").collect()
         if off:
-            raise ValueError("variants of one budget differ in ids or seeds")
+            raise ValueError(f"variants without a budget, short of theirs, or unlike others of it in ids or seeds: {off}")
         states, features, space = self.table("projected"), self.table("state_features"), self.table("feature_space")
         vocabulary = states.select("domain", F.explode(F.transform(realize.facts(F.col("plan")), realize.canonical_fact)).alias("fact"))
         terms = states.select(F.explode(realize.plan_terms(F.col("plan"))).alias("term")).distinct()
         scored = o.withColumn("valid", validate.realized_valid()).join(evaluate.fact_scores(o, "output_id", vocabulary), "output_id").join(evaluate.term_precision(o, "output_id", terms), "output_id")
         scored = self.write(scored, "scored")
         self.write(evaluate.quality(scored), "quality")
-        groups = self.table("records").select("source_id", F.regexp_replace("schema_id", r"^[^:]*:", "").alias("group"))
+        groups = self.table("records").select("source_id", records.record_group(F.col("domain"), F.col("category"), F.col("source"), F.col("n_star")).alias("group"))
         s = states.join(groups, "source_id", "left").withColumn("group", F.coalesce("group", "domain"))
         self.write(evaluate.divergence(scored, "output_id", space, evaluate.slice_targets(s, features)), "divergence")
-        q = self.table("quality")
-        full = q.filter("variant = 'full_pipeline'")
-        self.write(full.filter("level = 'dataset'").select("slice", "outputs", "schema_validity", "fact_coverage", "fact_precision"), "report_datasets")
-        self.write(q.filter("level = 'all'").select("variant", "outputs", "schema_validity", "violation_rate", "fact_coverage", "fact_precision"), "report_variants")
-        return ["scored", "quality", "divergence", "report_datasets", "report_variants"]
+        tables = evaluate.report_tables(self.table("quality"), self.table("divergence"), "full_pipeline")
+        for name, t in tables.items():
+            self.write(t, name)
+        self.write(evaluate.variant_digests(o), "variant_digests")
+        return ["scored", "quality", "divergence", *tables, "variant_digests"]
 
     def fingerprint(self, tables: list[str]) -> tuple[dict[str, int], dict[str, str]]:
         counts, prints = {}, {}
@@ -225,9 +226,20 @@ class Pipeline:
             counts[name], prints[name] = n, f"{n}:{h}"
         return counts, prints
 
+    def fresh(self, stage: str) -> tuple[bool, str]:
+        """Whether a stage is complete and its tables still are what it wrote."""
+        ok, why = self.store.check(stage)
+        if not ok:
+            return ok, why
+        try:
+            _, prints = self.fingerprint(list(self.store.load(stage)["artifacts"]))
+        except AnalysisException:
+            return False, "artifacts are missing"
+        return self.store.check(stage, prints)
+
     def run_stage(self, stage: str) -> None:
         for u in UPSTREAM[stage]:
-            ok, why = self.store.check(u)
+            ok, why = self.fresh(u)
             if not ok:
                 raise RuntimeError(f"{stage} needs {u}: {why}")
         self.store.save(stage, "in_progress")
@@ -244,11 +256,11 @@ class Pipeline:
 
     def run(self, start: str = STAGES[0], stop: str = STAGES[-1]) -> None:
         for stage in STAGES[STAGES.index(start) : STAGES.index(stop) + 1]:
-            if not self.store.check(stage)[0]:
+            if not self.fresh(stage)[0]:
                 self.run_stage(stage)
 
     def status(self) -> dict[str, str]:
-        return {s: self.store.check(s)[1] for s in STAGES}
+        return {s: self.fresh(s)[1] for s in STAGES}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -272,7 +284,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "status":
         print(json.dumps(p.status(), indent=2))
         return 0
-    sinks.write_json(Path(p.root) / "config.json", config)
+    sinks.write_json(f"{p.root}/config.json", config, p.files)
     p.run(a.start, a.stop)
     return 0
 

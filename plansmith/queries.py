@@ -72,7 +72,10 @@ def split_manifest(spark, d):
     return t(spark, d, "documents").groupBy("source", "lang").agg(n.alias("available"), C.half_up(n, 0.5).alias("selected"), (n - F.count_distinct(C.sha256("text"))).alias("duplicates"))
 
 
-@query("SELECT source, sha256('[' || string_agg('\"' || h || '\"', ',' ORDER BY h) || ']') AS fingerprint FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source")
+_QUARTERS = " || ':' || ".join(f"sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT))::HUGEINT::VARCHAR" for i in range(4))
+
+
+@query(f"SELECT source, sha256(count(h)::VARCHAR || ':' || {_QUARTERS}) AS fingerprint FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source")
 def fingerprints(spark, d):
     return t(spark, d, "documents").select("source", C.sha256("text").alias("h")).groupBy("source").agg(C.fingerprint(F.col("h")).alias("fingerprint"))
 
@@ -177,7 +180,7 @@ rp AS (SELECT l, r, 'rare_pair:["' || l || '","' || r || '"]' AS feature, weight
 
 
 def _order_space(spark, d):
-    s = order_states(spark, d).cache()  # a few hundred states, read many times
+    s = order_states(spark, d)
     return s, order_features(s)
 
 
@@ -199,8 +202,8 @@ def feature_space(spark, d):
 @query()
 def project(spark, d):
     s, f = _order_space(spark, d)
-    space = circuit.feature_space(f, s, (8, 12, 20)).cache()
-    every = circuit.with_pairs(f, space).cache()
+    space = circuit.local(circuit.feature_space(f, s, (8, 12, 20)))
+    every = circuit.with_pairs(f, space)
     goal = circuit.targets(circuit.marginals(s, every), limit=12)
     return circuit.project(s, every, goal).states.select("state_id", "domain", F.round("p", 9).alias("p"), F.round("p_base", 9).alias("p_base"))
 
@@ -287,7 +290,7 @@ def validate_triples(spark, d):
     k = "CAST(substring_index(source_id, ':', -1) AS long) % 5"
     tr = "reference_plan.triples"
     bad = f"CASE {k} WHEN 1 THEN transform({tr}, (x, i) -> IF(i = 0, named_struct('subject', x.subject, 'predicate', 'foreign', 'object', x.object, 'subject_type', x.subject_type, 'object_type', x.object_type), x)) WHEN 2 THEN concat({tr}, slice({tr}, 1, 1)) WHEN 3 THEN transform({tr}, (x, i) -> IF(i = 2, named_struct('subject', x.subject, 'predicate', x.predicate, 'object', CAST(NULL AS string), 'subject_type', x.subject_type, 'object_type', x.object_type), x)) WHEN 4 THEN slice({tr}, 1, 0) ELSE {tr} END"
-    j = r.withColumn("constraints", records.constraints()).withColumn("_t", F.expr(bad)).withColumn("plan", F.expr(empty_plan(domain="domain", schema_id="schema_id", triples="_t")))
+    j = r.withColumn("constraints", records.constraints("webnlg")).withColumn("_t", F.expr(bad)).withColumn("plan", F.expr(empty_plan(domain="domain", schema_id="schema_id", triples="_t")))
     # a triple with a missing part can't be grounded either
     return j.select("source_id", F.array_join(F.transform(validate.errors(), lambda e: e["code"]), ",").alias("codes"))
 
@@ -299,7 +302,7 @@ def validate_cells(spark, d):
     k = "CAST(split(split(source_id, ':')[2], '-')[0] AS long) % 4"
     f = "reference_plan.fields"
     bad = f"CASE {k} WHEN 1 THEN transform({f}, (x, i) -> IF(i = 0, named_struct('row', x.row, 'column', x.column, 'value', 'zz'), x)) WHEN 2 THEN slice({f}, 1, 2) WHEN 3 THEN transform({f}, (x, i) -> IF(i = 1, named_struct('row', x.row, 'column', 'foreign', 'value', x.value), x)) ELSE {f} END"
-    j = r.withColumn("constraints", records.constraints()).withColumn("_f", F.expr(bad)).withColumn("plan", F.expr(empty_plan(domain="domain", schema_id="schema_id", fields="_f")))
+    j = r.withColumn("constraints", records.constraints("dart")).withColumn("_f", F.expr(bad)).withColumn("plan", F.expr(empty_plan(domain="domain", schema_id="schema_id", fields="_f")))
     return j.select("source_id", F.array_join(F.transform(validate.errors(), lambda e: e["code"]), ",").alias("codes"))
 
 
@@ -398,12 +401,77 @@ def grid_generate(spark, d):
     return grids.generate(spark, {"zebra_easy": 30, "zebra_medium": 40, "zebra_hard": 30}, SEED).select("source_id", "domain", "grid_size", F.size("clues").alias("clues"), "text")
 
 
-@query("SELECT domain, n, n AS valid FROM (VALUES ('zebra_easy', 30), ('zebra_medium', 40), ('zebra_hard', 30)) v(domain, n)")
+@query("""SELECT domain, CAST(count(*) AS INT) AS n, CAST(count(*) FILTER (i % 3 <> 1) AS INT) AS valid, CAST(count(*) FILTER (i % 3 = 1) AS INT) AS off
+FROM (SELECT 'zebra_easy' AS domain, range AS i FROM range(30) UNION ALL SELECT 'zebra_medium', range FROM range(40) UNION ALL SELECT 'zebra_hard', range FROM range(30)) GROUP BY domain""")
 def grid_validate(spark, d):
+    """Every third puzzle's assignment turned round: its clues no longer hold."""
     g = grids.generate(spark, {"zebra_easy": 30, "zebra_medium": 40, "zebra_hard": 30}, SEED)
-    p = g.withColumn("plan", F.expr(empty_plan(domain="domain", grid_size="grid_size", categories="categories", clues="clues", assignment="assignment"))).withColumn("reference_plan", F.col("plan")).withColumn("schema_id", F.lit(None).cast("string"))
-    e = p.withColumn("constraints", records.constraints()).select("domain", F.size(validate.errors()).alias("e"))
-    return e.groupBy("domain").agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_if(F.col("e") == 0).cast("int").alias("valid"))
+    off = F.substring_index("source_id", ":", -1).cast("long") % 3 == 1
+    turned = F.transform_values("assignment", lambda c, x: F.transform_values(x, lambda k, p: F.col("grid_size") - 1 - p))
+    g = g.withColumn("_a", F.when(off, turned).otherwise(F.col("assignment")))
+    p = g.withColumn("plan", F.expr(empty_plan(domain="domain", grid_size="grid_size", categories="categories", clues="clues", assignment="_a")))
+    p = p.withColumn("reference_plan", F.expr(empty_plan(domain="domain", grid_size="grid_size", categories="categories", clues="clues", assignment="assignment"))).withColumn("schema_id", F.lit(None).cast("string"))
+    e = p.withColumn("constraints", records.constraints("zebralogic")).select("domain", validate.errors().alias("e"))
+    return e.groupBy("domain").agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_if(F.size("e") == 0).cast("int").alias("valid"), F.count_if(F.exists("e", lambda x: x["code"] == "clue")).cast("int").alias("off"))
+
+
+@query("""SELECT 'webnlg:train:' || p_partkey AS source_id, form, p_name AS subject, 'brand' AS predicate, p_brand AS object, p_type AS category, 1 AS triple_count
+FROM part, (VALUES ('head'), ('property'), ('alone'), ('listed'), ('nested'), ('text')) v(form)""")
+def triple_forms(spark, d):
+    """One triple of each part in the forms that raw rows may give it in."""
+    p = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("category"), "p_name", "p_brand")
+    s, o, k = F.col("p_name"), F.col("p_brand"), F.lit("brand")
+    forms = {
+        "head": F.array(F.struct(s.alias("head"), k.alias("relation"), o.alias("tail"))),
+        "property": F.array(F.struct(F.lit("").alias("subject"), s.alias("s"), k.alias("property"), o.alias("o"))),
+        "alone": F.struct(s.alias("subject"), k.alias("r"), o.alias("object")),
+        "listed": F.array(F.array(s, k, o, F.lit("more"))),
+        "nested": F.array(F.array(F.array(s, k, o))),
+        "text": F.array(F.concat_ws("|||", s, k, o), F.lit("no triple")),
+    }
+    out = None
+    for name, form in forms.items():
+        r = records.normalize(p.select("id", "category", form.alias("modified_triple_sets")), "webnlg", F.lit("train"))
+        r = r.select("source_id", F.lit(name).alias("form"), F.explode("reference_plan.triples").alias("t"), "category", "triple_count").select("source_id", "form", "t.subject", "t.predicate", "t.object", "category", "triple_count")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+_DART_SQL = """r AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_linestatus AS source, CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 2 END AS n FROM lineitem),
+q AS (SELECT *, 'dart:train:' || id AS source_id, [to_json(source)::VARCHAR, to_json(CAST(n AS VARCHAR))::VARCHAR, to_json(CAST(n AS VARCHAR))::VARCHAR] AS st FROM r),
+h AS (SELECT *, sha256(concat_ws('|', '42', to_json(st)::VARCHAR, source_id)) AS h FROM q),
+w AS (SELECT st, count(*) AS c, (SELECT floor(count(*) * 0.1 + 0.5) FROM q) AS total, sum(count(*)) OVER () AS al FROM q GROUP BY st),
+b AS (SELECT *, total * c / al AS raw, floor(total * c / al) AS base FROM w),
+a AS (SELECT st, base + CASE WHEN row_number() OVER (ORDER BY raw - base DESC, st) <= total - sum(base) OVER () THEN 1 ELSE 0 END AS share FROM b)"""
+
+
+@query(f"WITH {_DART_SQL} SELECT source_id, source, n AS schema_cardinality, n AS triple_count FROM (SELECT *, row_number() OVER (PARTITION BY st ORDER BY h, source_id) AS k FROM h) JOIN a USING (st) WHERE k <= share")
+def dart_sample(spark, d):
+    """A tenth of cell records, proportional over their source, number of columns and number of cells."""
+    li = t(spark, d, "lineitem")
+    name = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    cells = F.array(F.array(name, F.lit("flag"), F.col("l_returnflag")), F.array(name, F.lit("status"), F.col("l_linestatus")))
+    raw = li.select(name.alias("id"), F.slice(cells, F.lit(1), F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(2)).alias("tripleset"), F.array("l_linestatus").alias("target_sources"))
+    r = records.normalize(raw, "dart", F.lit("train")).select("source_id", "source", "schema_cardinality", "triple_count")
+    return sampling.stratified_sample(r, "source_id", ["source", "schema_cardinality", "triple_count"], 0.1, SEED)
+
+
+@query("""SELECT 'zebralogic:train:' || c_custkey AS source_id, 'zebra_' || lower(CASE WHEN c_custkey % 2 = 0 THEN 'EASY' ELSE 'Hard' END) AS domain, 'zebra_' || lower(CASE WHEN c_custkey % 2 = 0 THEN 'EASY' ELSE 'Hard' END) || ':' || c_custkey AS schema_id,
+2 AS grid_size, 2 AS clue_count, 'fixed_position,left_of' AS clue_types, CAST(c_custkey AS VARCHAR) AS puzzle_family, CAST(c_custkey % 3 = 0 AS INT) AS errors, upper(substr(x, 1, 1)) || lower(substr(x, 2)) AS "group" FROM customer, LATERAL (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'EASY' ELSE 'Hard' END AS x)""")
+def raw_grids(spark, d):
+    """Grids given as raw rows, columns as JSON text or as maps; for every third the solution contradicts its clues."""
+    c = t(spark, d, "customer").select("c_custkey", F.col("c_name").alias("a"), F.concat("c_name", F.lit("'s friend")).alias("b"))
+    first, second = F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(0), F.when(F.col("c_custkey") % 3 == 0, 0).otherwise(1)
+    ref = lambda x: F.struct(F.lit("who").alias("category"), x.alias("item"))
+    none = F.lit(None).cast("struct<category:string,item:string>")
+    clue = lambda kind, x, y, p: F.struct(F.lit(kind).alias("type"), ref(x).alias("left"), y.alias("right"), p.cast("int").alias("position"))
+    clues = F.array(clue("fixed_position", F.col("a"), none, F.lit(0)), clue("left_of", F.col("a"), ref(F.col("b")).cast("struct<category:string,item:string>"), F.lit(None)))
+    raw = c.select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 2 == 0, "EASY").otherwise("Hard").alias("level"), F.to_json(F.create_map(F.lit("who"), F.array("a", "b"))).alias("categories"), clues.alias("clues"), F.create_map(F.lit("who"), F.create_map("a", first, "b", second)).alias("solution"))
+    r = records.normalize(raw, "zebralogic", F.lit("train"))
+    e = r.withColumn("plan", F.col("reference_plan")).withColumn("constraints", records.constraints("zebralogic"))
+    e = e.withColumn("errors", F.size(F.array_distinct(F.transform(validate.errors(), lambda x: x["code"]))))
+    group = records.record_group(F.col("domain"), F.col("category"), F.col("source"), F.col("n_star"))
+    return e.select("source_id", "domain", "schema_id", "grid_size", "clue_count", F.array_join("clue_type", ",").alias("clue_types"), "puzzle_family", "errors", group.alias("group"))
 
 
 # --- metrics -------------------------------------------------------------------------------------------------------------
@@ -494,29 +562,74 @@ def evaluation_report(spark, d):
 
 @query()
 def slice_divergence(spark, d):
-    o = part_outputs(spark, d).cache()
+    o = part_outputs(spark, d)
     one = o.filter("variant = 'constrained'")
     n = one.agg(F.count(F.lit(1)).alias("n"))
     states = one.crossJoin(F.broadcast(n)).select(F.col("output_id").alias("state_id"), "dataset", "domain", "group", (1 / F.col("n")).alias("p"))
-    f = evaluate.realized_features(one, "output_id").withColumnRenamed("output_id", "state_id").cache()
-    space = circuit.feature_space(f, states, (64, 64, 16)).cache()
-    every = circuit.with_pairs(f, space)
-    kept = evaluate.slice_targets(states, every)
+    f = evaluate.realized_features(one, "output_id").withColumnRenamed("output_id", "state_id")
+    space = circuit.local(circuit.feature_space(f, states, (64, 64, 16)))
+    kept = evaluate.slice_targets(states, circuit.with_pairs(f, space))
     r = evaluate.divergence(o, "output_id", space, kept)
-    return r.select("variant", "level", "slice", *[F.round(c, 9).alias(c) for c in ("coverage_error", "rare_coverage", "jensen_shannon", "kl")])
-
-
-@query("SELECT CAST(count(*) AS BIGINT) AS budget, CAST(2 AS BIGINT) AS variants, true AS same FROM part")
+    return r.select("variant", "level", "slice", *[F.round(c, 9).alias(c) for c in ("coverage_error", "rare_coverage", "jensen_shannon", "kl", "all_feature_error")])
+
+
+_BERNOULLI = "greatest(1e-12, least(1 - 1e-12, {0}))"
+
+
+@query(f"""WITH o AS (SELECT p_partkey, v AS variant, CAST(p_partkey % 2 AS VARCHAR) AS grp, CASE WHEN v = 'free' AND p_partkey % 4 = 0 THEN NULL ELSE CAST(p_size AS VARCHAR) END AS z FROM part, (VALUES ('constrained'), ('free')) x(v)),
+s AS (SELECT variant, level, slice, z FROM (SELECT variant, z, unnest(['all', 'dataset', 'domain', 'group']) AS level, unnest(['all', 'webnlg', 'webnlg', grp]) AS slice FROM o)),
+n AS (SELECT variant, level, slice, count(*) AS n FROM s GROUP BY ALL),
+e AS (SELECT variant, level, slice, z, count(*) AS k FROM s WHERE z IS NOT NULL GROUP BY ALL),
+t AS (SELECT level, slice, z, k / n AS target FROM e JOIN n USING (variant, level, slice) WHERE variant = 'constrained' AND z <> '1'),
+a AS (SELECT z FROM t UNION SELECT '1'),
+j AS (SELECT n.variant, n.level, n.slice, coalesce(e.k, 0) / n.n AS o, {_BERNOULLI.format('coalesce(t.target, 0.0)')} AS q, coalesce(t.target, 0.0) AS target FROM n CROSS JOIN a LEFT JOIN e ON n.variant = e.variant AND n.level = e.level AND n.slice = e.slice AND a.z = e.z LEFT JOIN t ON n.level = t.level AND n.slice = t.slice AND a.z = t.z)
+SELECT variant, level, slice, round(avg({_BERNOULLI.format('o')} * ln({_BERNOULLI.format('o')} / q) + (1 - {_BERNOULLI.format('o')}) * ln((1 - {_BERNOULLI.format('o')}) / (1 - q))), 6) AS kl, count(*) AS features FROM j WHERE target > 0 OR o > 0 GROUP BY ALL""")
+def slice_drift(spark, d):
+    """Drift of one attribute's marginals: a feature that outputs hold has no target, and one variant lacks some of them."""
+    p = t(spark, d, "part").select("p_partkey", F.concat(F.lit("z"), F.col("p_size").cast("string")).alias("z"))
+    o = p.withColumn("variant", F.explode(F.array(F.lit("constrained"), F.lit("free"))))
+    triples = F.array(F.struct(F.lit("s").alias("subject"), F.lit("r").alias("predicate"), F.col("z").alias("object"), F.lit(None).cast("string").alias("subject_type"), F.lit(None).cast("string").alias("object_type")))
+    o = o.withColumn("_t", triples).withColumn("plan", F.expr(empty_plan(domain="'webnlg'", schema_id="NULL", triples="_t")))
+    text = F.when((F.col("variant") == "free") & (F.col("p_partkey") % 4 == 0), "nothing").otherwise(F.col("z"))
+    o = o.select(F.concat_ws("/", "variant", "p_partkey").alias("output_id"), "variant", F.lit("webnlg").alias("dataset"), F.lit("webnlg").alias("domain"), (F.col("p_partkey") % 2).cast("string").alias("group"), "plan", text.alias("text"))
+    one = o.filter("variant = 'constrained'").select(F.col("output_id").alias("state_id"), "dataset", "domain", "group", F.lit(1.0).alias("p"), F.element_at("plan.triples", 1)["object"].alias("z"))
+    f = one.filter("z <> 'z1'").select("state_id", F.concat(F.lit("attribute:webnlg:"), "z").alias("feature"))
+    space = one.select(F.concat(F.lit("attribute:webnlg:"), "z").alias("feature"), F.lit("attribute").alias("family")).distinct()
+    r = evaluate.divergence(o, "output_id", space, evaluate.slice_targets(one, f))
+    used = evaluate.slices(o.withColumn("feature", F.explode(evaluate.realized(F.col("plan"), F.col("text"), F.col("domain"))))).join(F.broadcast(space), "feature")
+    seen = used.select("variant", "level", "slice", "feature")
+    held = evaluate.slices(one).filter("z <> 'z1'").select("level", "slice", F.concat(F.lit("attribute:webnlg:"), "z").alias("feature")).distinct()
+    both = seen.unionByName(o.select("variant").distinct().join(F.broadcast(held)).select("variant", "level", "slice", "feature")).distinct()
+    n = both.groupBy("variant", "level", "slice").agg(F.count(F.lit(1)).alias("features"))
+    return r.join(n, ["variant", "level", "slice"]).select("variant", "level", "slice", F.round("kl", 6).alias("kl"), "features")
+
+
+_ALIGN_SQL = """WITH n AS (SELECT max(p_partkey) AS n FROM part),
+o AS (SELECT v AS variant, p_partkey AS k, CASE WHEN v = 'moved' AND p_partkey = 3 THEN 'x' ELSE CAST(p_partkey AS VARCHAR) END AS id FROM part, n, (VALUES ('constrained'), ('free'), ('short'), ('half'), ('moved'), ('extra')) x(v)
+  WHERE v IN ('constrained', 'free') OR (v = 'short' AND p_partkey <= n // 4) OR (v IN ('half', 'moved') AND p_partkey <= n // 2) OR (v = 'extra' AND p_partkey <= 5)),
+b AS (SELECT variant, budget FROM n, LATERAL (VALUES ('constrained', n), ('free', n), ('short', n // 4 + 1), ('half', n // 2), ('moved', n // 2)) x(variant, budget)),
+p AS (SELECT variant, count(*) AS c, string_agg(k || '/' || id, ',' ORDER BY k) AS ids FROM o GROUP BY variant),
+j AS (SELECT coalesce(p.variant, b.variant) AS variant, budget, coalesce(c = budget, false) AS complete, ids FROM p FULL JOIN b ON p.variant = b.variant)
+SELECT CAST(budget AS BIGINT) AS budget, count(*) AS variants, bool_and(complete) AS complete, bool_and(complete) AND count(DISTINCT ids) <= 1 AS same FROM j GROUP BY budget"""
+
+
+@query(_ALIGN_SQL)
 def variant_alignment(spark, d):
-    o = part_outputs(spark, d).select("variant", F.col("k").alias("generation_index"), F.col("k").cast("string").alias("eval_id"), C.hash_seed(F.col("k")).alias("generation_seed"))
-    return evaluate.aligned(o)
-
-
-@query("SELECT domain, quota, CAST(quota AS BIGINT) AS accepted FROM (VALUES ('F', 20), ('O', 30), ('P', 10)) v(domain, quota)")
+    """Two variants that agree, one short of its budget, two of a budget that differ in one id, and one without a budget."""
+    n = t(spark, d, "part").agg(F.max("p_partkey")).first()[0]
+    upto = {"constrained": n, "free": n, "short": n // 4, "half": n // 2, "moved": n // 2, "extra": 5}
+    limit = F.create_map(*[F.lit(x) for k, v in upto.items() for x in (k, v)])
+    o = t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.explode(F.array(*map(F.lit, upto))).alias("variant")).filter(F.col("k") <= limit[F.col("variant")])
+    name = F.when((F.col("variant") == "moved") & (F.col("k") == 3), "x").otherwise(F.col("k").cast("string"))
+    o = o.select("variant", F.col("k").alias("generation_index"), name.alias("eval_id"), C.hash_seed(F.col("k")).alias("generation_seed"))
+    return evaluate.aligned(o, {"constrained": n, "free": n, "short": n // 4 + 1, "half": n // 2, "moved": n // 2})
+
+
+@query("""WITH r AS (SELECT o_orderstatus AS domain, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS k FROM orders WHERE o_totalprice > 50000)
+SELECT domain, o_orderkey FROM r WHERE k <= CASE domain WHEN 'F' THEN 20 WHEN 'O' THEN 30 ELSE 10 END""")
 def quota_acceptance(spark, d):
     o = t(spark, d, "orders").select(F.col("o_orderstatus").alias("domain"), "o_orderkey", (F.col("o_totalprice") > 50000).alias("accepted"))
-    got = sampling.capped_accept(o, "domain", {"F": 20, "O": 30, "P": 10}, ["o_orderkey"]).groupBy("domain").agg(F.count(F.lit(1)).alias("accepted"))
-    return got.select("domain", F.when(F.col("domain") == "F", 20).when(F.col("domain") == "O", 30).otherwise(10).alias("quota"), "accepted")
+    return sampling.capped_accept(o, "domain", {"F": 20, "O": 30, "P": 10}, ["o_orderkey"]).select("domain", "o_orderkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0")

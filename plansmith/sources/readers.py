@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grids, records
-from ..plans.model import RECORD, empty_plan
+from ..plans.model import RECORD
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -41,7 +41,7 @@ def review_split() -> F.Column:
 def read_family(spark: SparkSession, dataset: str, spec: dict, seed: int) -> DataFrame:
     """Records of one dataset. spec: ``splits`` (name to source), or one ``source`` whose rows name their split, or
     ``counts`` of generated grids and the ``research`` fractions that split them."""
-    if dataset == "zebralogic":
+    if dataset == "zebralogic" and "counts" in spec:
         return grid_records(spark, spec["counts"], spec.get("research", {"research_train": 0.8, "research_validation": 0.1, "research_test": 0.1}), seed)
     if "source" in spec:
         raw = read_raw(spark, spec["source"])
@@ -59,10 +59,8 @@ def grid_records(spark: SparkSession, counts: dict[str, int], fractions: dict[st
         g = grids.generate(spark, {domain: counts[domain]}, seed)
         parts.append(group_split(g, "source_id", fractions, seed + i))
     g = reduce(DataFrame.unionByName, parts)
-    g = g.withColumn("reference_plan", F.expr(empty_plan(domain="domain", schema_id="source_id", grid_size="grid_size", categories="categories", clues="clues", assignment="assignment")))
-    sha = F.sha2(F.to_json(F.struct(F.array_sort(F.map_entries("categories")).alias("c"), F.col("clues"), F.col("text"))), 256)
-    out = g.select("source_id", F.lit("zebralogic").alias("dataset"), "domain", F.col("split").alias("official_split"), F.col("source_id").alias("schema_id"), "reference_plan", F.col("text").alias("reference_text"), sha.alias("record_sha256"))
-    return out.select(*out.columns)
+    g = g.select(F.col("source_id").alias("id"), F.regexp_replace("domain", "^zebra_", "").alias("difficulty"), "grid_size", "categories", "clues", "assignment", "text", "split")
+    return records.normalize(g, "zebralogic", F.col("split"))
 
 
 def load_prepared(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,7 @@ def test_config():
         cfg.load(None, ["sample.fraction=2"])
 
 
-def test_manifest(tmp_path):
+def test_manifest(spark, tmp_path):
     c = cfg.load(None, [])
     s = ManifestStore(tmp_path, c, {"records": "x"})
     assert s.check("records") == (False, "missing")
@@ -29,8 +29,8 @@ def test_manifest(tmp_path):
     s.save("silver", "complete")
     s.save("records", "complete", {"records": 2})
     assert s.check("silver")[1] == "stale input records" and s.first_incomplete() == "silver"
-    m = json.loads(s.path("records").read_text()) | {"counts": {}}
-    s.path("records").write_text(json.dumps(m))
+    m = s.load("records") | {"counts": {}}
+    s.files.write(s.path("records"), json.dumps(m))
     assert s.check("records")[1] == "manifest was changed"
 
 
@@ -71,6 +71,7 @@ def test_all_stages(spark, tmp_path):
     assert q["full_pipeline", "all", "all"]["schema_validity"] == 1.0 and q["full_pipeline", "all", "all"]["fact_coverage"] == 1.0
     assert q["distill_only", "all", "all"]["schema_validity"] < 1.0
     assert json.loads((tmp_path / "out/projection.json").read_text())["invalid_states"] == 0
+    assert {r["slice"] for r in p.table("report_groups").collect()} >= {"c0", "c1"}
     before = p.store.load("metrics")["self"]
     p.run()
     assert p.store.load("metrics")["self"] == before
