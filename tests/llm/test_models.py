@@ -60,59 +60,81 @@ def test_toxicity_finds_new_words_of_known_kinds():
     assert order(np.array([m.score(t) for _, t in rows[600:]]), np.array([k for k, _ in rows[600:]])) > 0.9
 
 
+def _search(spark, x, queries, k=neighbours.K, kind="double", **how):
+    """Rows of x as an index, queries of (id, vector): the result, and the index."""
+    index = neighbours.Index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>"), k=k)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in queries], f"query_id long, embedding array<{kind}>")
+    return index.search(asked, **how).toPandas().sort_values(["query_id", "rank"]), index
+
+
+def _recall(x, queries, got, top=20):
+    hit = []
+    for i, v in queries:
+        s = x @ v
+        if i >= 0:
+            s[i] = -np.inf
+        g = got[got["query_id"] == i]
+        assert list(g["rank"]) == list(range(1, top + 1)) and np.allclose(g["score"], s[g["vec_id"]], rtol=1e-12)
+        assert list(np.lexsort((g["vec_id"], -g["score"]))) == list(range(top))
+        hit.append(np.mean(g["score"] >= np.sort(s)[-top] * (1 - 1e-12)))
+    return np.mean(hit)
+
+
 def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((700, 16)) * rng.uniform(0.2, 2, (700, 1))  # norms differ: inner product isn't cosine
     x[300:360] = x[7]
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    index = neighbours.Index(df)
-    q = index.originals.filter("vec_id % 20 = 0").join(index.classes, "vec").selectExpr("vec_id AS query_id", "vec", "node")
-    got = index.search(q).toPandas()
-    hit = []
-    for i, g in got.groupby("query_id"):
-        s = x @ x[i]
-        s[i] = -np.inf
-        want = np.lexsort((np.arange(700), -s.round(12)))[:20]
-        g = g.sort_values("rank")
-        assert list(g["rank"]) == list(range(1, 21)) and np.allclose(g["score"], s[g["vec_id"]])
-        hit.append(len(set(want) & set(g["vec_id"])) / 20)
-    assert np.mean(hit) >= 0.97
+    queries = [(i, x[i]) for i in range(0, 700, 20)]
+    got, index = _search(spark, x, queries)
+    assert _recall(x, queries, got) >= 0.97
     # queries that are no rows of the index
-    new = rng.standard_normal((10, 16))
-    asked = spark.createDataFrame([(-i - 1, v.tobytes()) for i, v in enumerate(new)], "query_id long, vec binary").selectExpr("query_id", "vec", "CAST(NULL AS long) AS node")
-    got = index.search(asked).toPandas()
-    assert np.mean([len(set(np.argsort(-(x @ new[-i - 1]))[:20]) & set(g["vec_id"])) / 20 for i, g in got.groupby("query_id")]) >= 0.9
-
-
-def test_neighbour_rounds_go_on_until_done(spark):
-    # codes whose inner products fall evenly with the distance of their ids: with two neighbours each the graph is a chain
+    new = [(-i - 1, rng.standard_normal(16)) for i in range(10)]
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in new], "query_id long, embedding array<double>")
+    assert _recall(x, new, index.search(asked).toPandas().sort_values(["query_id", "rank"])) >= 0.9
+
+
+def test_neighbours_with_outlying_norms(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 12))
+    x[7] *= 1e4
+    x[11] *= 1e-9
+    x[13] = 1e-200 * x[14]  # its squares underflow
+    queries = [(i, x[i]) for i in range(400) if i % 20 == 0 or i in (7, 11, 13)]
+    got, _ = _search(spark, x, queries)
+    assert _recall(x, queries, got) >= 0.97
+    x[7] = 1e200 * x[15] / np.abs(x[15]).max()  # and these overflow
+    got, index = _search(spark, x, [(0, x[0]), (7, x[7])])
+    assert index.n == 400 and got.groupby("query_id").size().tolist() == [20, 20]
+
+
+def test_neighbours_go_on_until_settled(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 8)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 8))
+    queries = [(i, x[i]) for i in range(0, 1500, 20)]
+    got, index = _search(spark, x, queries, k=12)
+    fresh, held = index.lists.selectExpr("sum(fresh)", "sum(held)").first()
+    assert fresh / held < neighbours.SETTLED
+    assert _recall(x, queries, got) >= 0.97
+    # codes whose inner products fall evenly with the distance of their ids: with two neighbours each the graph is a chain,
+    # and from its one entry one of the two ends is many links away
     n = 46
     x = np.where(np.arange(n - 1) < np.arange(n)[:, None], 1.0, -1.0)
-    lists = []
-
-    class Slow(neighbours.Index):
-        def _lists(self, offers):
-            lists.append(super()._lists(offers))
-            return lists[-1] if len(lists) > 11 else self.scratch.keep(lists[-1].withColumn("new", F.lit(1).cast("byte")))
-
-    index = Slow(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), k=2)
-    assert len(lists) == 12  # lists that change for eleven rounds are not left before
-    # one entry: one of the two ends is more than 16 links away from it
-    asked = spark.createDataFrame([(-1, x[0].tobytes()), (-2, x[-1].tobytes())], "query_id long, vec binary").selectExpr("query_id", "vec", "CAST(NULL AS long) AS node")
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(neighbours, "ENTRIES", 1)
-        got = index.search(asked, top=4, width=8).toPandas().sort_values("rank")
+    monkeypatch.setattr(neighbours, "ENTRIES", 1)
+    got, _ = _search(spark, x, [(-1, x[0]), (-2, x[-1])], k=2, top=4, width=8)
     assert {q: list(g["vec_id"]) for q, g in got.groupby("query_id")} == {-1: [0, 1, 2, 3], -2: [45, 44, 43, 42]}
 
 
-def test_neighbours_score_the_whole_list(spark):
-    rng = np.random.default_rng(5)
-    x = rng.standard_normal((100, 8))
-    index = neighbours.Index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), k=4)
-    order = np.argsort(-(x @ x[0])).tolist()
-    # a list in which the nearest come last
-    state = spark.createDataFrame([(-1, x[0].tobytes(), order[::-1])], "query_id long, vec binary, ids array<long>")
-    assert [r["vec_id"] for r in index._exact(state, 20).orderBy("rank").collect()] == order[:20]
+def test_blocks_change_nothing_but_the_graph(spark, monkeypatch):
+    """Many small blocks, floats, repeated ids and vectors."""
+    monkeypatch.setattr(neighbours, "LEAST", 16)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 8)).astype(np.float32).astype(np.float64)
+    x[100:160] = x[40]
+    queries = [(i, x[i]) for i in range(0, 600, 20)]
+    got, index = _search(spark, x, queries, kind="float")
+    assert index.p == 4 and index.n == 540
+    assert _recall(x, queries, got) >= 0.97
 
 
 def test_dictionary_words_are_a_parameter(monkeypatch):
