@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 #: Letters whose case folding is more than lower case.
 FOLDS = {"ß": "ss", "ſ": "s", "ς": "σ", "µ": "μ"}
 #: What counts as white space (the characters that Python's split breaks at), as a plain class: no Unicode properties to look up.
-BLANK = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+BLANK = f"[{BLANKS}]+"
 WORD = r"[\p{L}\p{N}_]+"
 CLAUSE_BREAK = r";\s*|\n+|\.\s+"
 
@@ -25,6 +26,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def stripped(c: Column | str) -> Column:
+    """No white space of any kind at the ends."""
+    return F.btrim(col(c).cast("string"), F.lit(BLANKS))
+
+
 def clean(c: Column | str) -> Column:
     """White space of any kind collapsed to single blanks, none at the ends."""
     return F.trim(F.regexp_replace(col(c).cast("string"), BLANK, " "))
@@ -115,20 +121,25 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str = "rank") ->
     counts = d.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")).alias("_start"))
     d = d.withColumn("_row", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order)))
-    on = F.col("_bucket") == F.col("_b")
+    on = F.col("_bucket").eqNullSafe(F.col("_b"))  # a plain equality would filter nulls out first, by evaluating the rows once more
     for i, k in enumerate(keys):
         on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return d.join(before, on).withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_bucket", "_b", "_row", "_start", *[f"_k{i}" for i in range(len(keys))])
 
 
+def bucket_counts(df: DataFrame, keys: list[str], order: str, digits: int = 3) -> DataFrame:
+    """keys, _bucket (the leading digits of a hex digest) and _n."""
+    return df.withColumn("_bucket", F.substring(order, 1, digits)).groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+
+
 def ranked(df: DataFrame, keys: list[str], order: str, tie: list[str], name: str = "rank", digits: int = 3) -> DataFrame:
     """Adds the row's rank (from 1) within its keys by a hex digest. Rows are ranked within (keys, leading digits) and
     counts of these buckets are summed up, so that a key with most of the rows doesn't land in one task."""
     d = df.withColumn("_bucket", F.substring(order, 1, digits))
-    counts = d.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = bucket_counts(df, keys, order, digits)
     before = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")).alias("_start"))
     d = d.withColumn("_row", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order, *tie)))
-    on = F.col("_bucket") == F.col("_b")
+    on = F.col("_bucket").eqNullSafe(F.col("_b"))  # a plain equality would filter nulls out first, by evaluating the rows once more
     for i, k in enumerate(keys):
         on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return d.join(before, on).withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_bucket", "_b", "_n", "_row", "_start", *[f"_k{i}" for i in range(len(keys))])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.allocation import apportion, half_up_count, largest_remainder, smooth_schedule
-from ..functions.canon import bucket, edges, json_string, numbered, ranked, stable_rank, uniform
+from ..functions.canon import bucket, bucket_counts, edges, json_string, numbered, ranked, stable_rank, uniform
 
 
 def strata(keys: list[str]) -> F.Column:
@@ -22,12 +22,12 @@ def stratified_sample(df: DataFrame, id_col: str, keys: list[str], target: int |
     """A proportional sample without replacement: largest-remainder shares of the strata, in each the rows of least stable
     hash. target: a count, or a fraction of the rows (half up). More than there are is an error."""
     d = df.withColumn("_stratum", strata(keys))
-    sizes = d.groupBy("_stratum").agg(F.count(F.lit(1)).alias("weight"))
+    hashed = d.withColumn("_hash", stable_rank(seed, F.to_json("_stratum"), id_col))
+    # the counts that ranks are made of give the strata's sizes too: one pass over the rows counts, one takes
+    sizes = bucket_counts(hashed, ["_stratum"], "_hash").groupBy("_stratum").agg(F.sum("_n").alias("weight"))
     n = F.sum("weight")
     total = F.floor(n * target + 0.5).cast("long") if isinstance(target, float) else F.when(n < target, F.raise_error(F.lit("sample larger than the population")).cast("long")).otherwise(F.lit(target).cast("long"))
     shares = apportion(sizes, sizes.agg(total.alias("total")), order="_stratum")
-    name = F.to_json("_stratum")
-    hashed = d.withColumn("_hash", stable_rank(seed, name, id_col))
     order = ranked(hashed, ["_stratum"], "_hash", [id_col], "_rank")
     return order.join(shares.select("_stratum", "share"), "_stratum").filter("_rank <= share").drop("_stratum", "_hash", "_rank", "share")
 
@@ -153,7 +153,7 @@ def weighted_draw(states: DataFrame, draws: DataFrame, order: str, weight: str =
     sums = s.groupBy(*keys, F.col("_bucket").alias("_b")).agg(F.sum(weight).alias("_w"))
     sums = sums.withColumn("_stop", F.sum("_w").over(at)).withColumn("_total", F.sum("_w").over(of)).withColumn("_last", F.lead("_b").over(at).isNull())
     sums = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_b", F.lag("_stop", 1, 0).over(at).alias("_start"), "_stop", "_total", "_last")
-    on = F.col("_bucket") == F.col("_b")
+    on = F.col("_bucket").eqNullSafe(F.col("_b"))
     for k in keys:
         on &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     w = Window.partitionBy(*keys, "_bucket").orderBy(order)

@@ -97,7 +97,15 @@ def research_split_documents(spark, d):
     return sampling.group_split(t(spark, d, "documents").select("doc_id"), "doc_id", {"train": 0.8, "validation": 0.1, "test": 0.1}, SEED)
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT conv_id, n, row_number() OVER (ORDER BY sha256(concat_ws('|', '42', 'group', conv_id::VARCHAR)), conv_id) AS i FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)),
+f AS (SELECT k, total * w AS raw, floor(total * w) AS base FROM (SELECT sum(n)::DOUBLE AS total FROM g), (VALUES (1, 0.8::DOUBLE), (2, 0.1::DOUBLE), (3, 0.1::DOUBLE)) v(k, w)),
+t AS (SELECT k, CAST(base + CASE WHEN row_number() OVER (ORDER BY raw - base DESC, k) <= (SELECT sum(n) FROM g) - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS t FROM f),
+s(i, conv_id, a, b, c, part) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), -(SELECT t FROM t WHERE k = 1), -(SELECT t FROM t WHERE k = 2), -(SELECT t FROM t WHERE k = 3), 0
+  UNION ALL
+  SELECT x.i, x.conv_id, a + CASE WHEN y = 1 THEN n ELSE 0 END, b + CASE WHEN y = 2 THEN n ELSE 0 END, c + CASE WHEN y = 3 THEN n ELSE 0 END, y
+  FROM (SELECT g.i, g.conv_id, g.n, s.a, s.b, s.c, CASE WHEN s.a <= s.b AND s.a <= s.c THEN 1 WHEN s.b <= s.c THEN 2 ELSE 3 END AS y FROM s JOIN g ON g.i = s.i + 1) x)
+SELECT conv_id, turn, (['train', 'validation', 'test'])[part] AS split FROM s JOIN conversations USING (conv_id) WHERE s.i > 0""")
 def research_split_conversations(spark, d):
     return sampling.group_split(t(spark, d, "conversations").select("conv_id", "turn"), "conv_id", {"train": 0.8, "validation": 0.1, "test": 0.1}, SEED)
 
@@ -223,7 +231,13 @@ def conditional_draw(spark, d):
     return sampling.weighted_draw(order_states(spark, d).select("state_id", "domain", "n"), u, "state_id", "n", ["domain"]).select("draw", "state_id")
 
 
-@query()
+@query(f"""WITH {_STATES_SQL}, {_FEATURES_SQL}, c AS (SELECT state_id, priority || '/' || month AS plan_key, p, sum(p) OVER (ORDER BY state_id) AS hi FROM st),
+u AS (SELECT range AS draw, {_HEX} / 4503599627370496.0 AS u FROM (SELECT range, sha256(concat_ws('|', '5042', 'uniform', range::VARCHAR)) AS h FROM range(2000))),
+dr AS (SELECT draw, state_id, plan_key FROM u JOIN c ON u >= (hi - p) / (SELECT max(hi) FROM c) AND (u < hi / (SELECT max(hi) FROM c) OR hi = (SELECT max(hi) FROM c))),
+ct AS (SELECT count(*) AS n, 1 - count(DISTINCT plan_key) / count(*) AS dup FROM dr),
+seen AS (SELECT feature, count(*) AS k FROM dr JOIN ft USING (state_id) GROUP BY feature),
+m AS (SELECT feature, sum(p) AS marginal FROM ft GROUP BY feature)
+SELECT n AS count, round(dup, 9) AS duplicate_rate, round(rmse, 9) AS marginal_rmse, 1.0::DOUBLE AS rare_coverage FROM ct, (SELECT sqrt(avg(power(coalesce(k, 0) / (SELECT n FROM ct) - marginal, 2))) AS rmse FROM m LEFT JOIN seen USING (feature))""")
 def sampling_report(spark, d):
     s, f = _order_space(spark, d)
     drawn = sampling.weighted_draw(s.withColumn("plan_key", F.concat_ws("/", "priority", "month")).select("state_id", "plan_key", "p"), sampling.hash_uniforms(spark, 2000, SEED + 5000), "state_id", "p")
@@ -249,7 +263,8 @@ _PART = "SELECT p_partkey, p_name || '#' || p_partkey AS s, p_brand AS b, p_size
 @query(f"""WITH p AS ({_PART}) SELECT 'webnlg:train:' || p_partkey AS source_id, u.pos, s AS subject, u.pr AS predicate, u.ob AS object
 FROM p, LATERAL (SELECT unnest([0, 1, 2]) AS pos, unnest(['brand', 'size', 'type']) AS pr, unnest([b, z, ty]) AS ob) u""")
 def normalize_triples(spark, d):
-    return part_records(spark, d).select("source_id", F.posexplode("reference_plan.triples").alias("pos", "t")).select("source_id", "pos", "t.subject", "t.predicate", "t.object")
+    # no record is without triples; a plain explode would filter by the parsed array and so parse it twice
+    return part_records(spark, d).select("source_id", F.posexplode_outer("reference_plan.triples").alias("pos", "t")).select("source_id", "pos", "t.subject", "t.predicate", "t.object")
 
 
 def line_records(spark, d) -> DataFrame:
@@ -264,7 +279,7 @@ def line_records(spark, d) -> DataFrame:
 @query("""SELECT 'dart:train:' || l_orderkey || '-' || l_linenumber AS source_id, u.pos, l_orderkey || '-' || l_linenumber AS "row", u.c AS "column", u.v AS value
 FROM lineitem, LATERAL (SELECT unnest([0, 1, 2]) AS pos, unnest(['flag', 'status', 'quantity']) AS c, unnest([l_returnflag, l_linestatus, CAST(CAST(trunc(l_quantity) AS INT) AS VARCHAR)]) AS v) u""")
 def normalize_cells(spark, d):
-    return line_records(spark, d).select("source_id", F.posexplode("reference_plan.fields").alias("pos", "f")).select("source_id", "pos", "f.row", "f.column", "f.value")
+    return line_records(spark, d).select("source_id", F.posexplode_outer("reference_plan.fields").alias("pos", "f")).select("source_id", "pos", "f.row", "f.column", "f.value")
 
 
 _LABEL = "concat('{screen#', CASE quality WHEN 1 THEN 'positive' ELSE 'NEGATIVE' END, '};{BATTERY# ', CASE toxic WHEN 1 THEN 'Negative' ELSE 'neutral' END, '};', CASE WHEN doc_id % 3 = 0 THEN '{OTHERS};' ELSE '' END)"
@@ -350,13 +365,11 @@ def script_filter(spark, d):
     return x.select("doc_id", validate.language_valid(F.col("text")).alias("valid"))
 
 
-_FIRST_SQL = f"SELECT item_id, ({_CLAUSES_SQL})[1] AS fact FROM benchmark"
-
-
-@query(f"""WITH b AS ({_FIRST_SQL}), c AS (SELECT doc_id, unnest({_CLAUSES_SQL}) AS c FROM documents)
+@query(f"""WITH b AS (SELECT unnest({_CLAUSES_SQL}) AS fact FROM benchmark), c AS (SELECT doc_id, unnest({_CLAUSES_SQL}) AS c FROM documents)
 SELECT DISTINCT doc_id, fact FROM c JOIN (SELECT DISTINCT fact FROM b WHERE fact IS NOT NULL) b ON contains(' ' || c || ' ', ' ' || fact || ' ')""")
 def fact_mentions(spark, d):
-    b = t(spark, d, "benchmark").select(F.lit("-").alias("domain"), F.array(F.get(C.clauses("text"), 0)).alias("fact")).filter("fact[0] IS NOT NULL")
+    """Every clause of every benchmark item, looked for in the documents' clauses."""
+    b = t(spark, d, "benchmark").select(F.lit("-").alias("domain"), F.explode(C.clauses("text")).alias("fact")).select("domain", F.array("fact").alias("fact"))
     docs = t(spark, d, "documents").select("doc_id", F.lit("-").alias("domain"), "text")
     return evaluate.mentions(docs, "doc_id", b).select("doc_id", F.get("fact", 0).alias("fact"))
 
