@@ -166,8 +166,8 @@ def training_rows(docs: DataFrame, learnt: Column | None = None) -> list[tuple[s
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = known.select("doc_id", "lang").withColumn("_r", rank).filter(F.col("_r") <= PER_LANG).select("doc_id", "lang")
     texts = docs.select("doc_id", "text", F.col("lang").alias("_lang"))
-    got = texts.join(F.broadcast(ids), "doc_id").filter("lang = _lang").select("lang", F.col("doc_id").cast("string").alias("doc_id"), "text")
-    rows = got.mapInArrow(cut, "lang string, doc_id string, windows array<string>").groupBy("lang", "doc_id").agg(F.min("windows").alias("windows")).collect()
+    got = texts.join(F.broadcast(ids), "doc_id").filter("lang = _lang").select("lang", "doc_id", "text")
+    rows = got.mapInArrow(cut, f"{schema_of(got.drop('text'))}, windows array<string>").groupBy("lang", "doc_id").agg(F.min("windows").alias("windows")).collect()
     return [(r[0], list(r[2])) for r in sorted(rows)]
 
 

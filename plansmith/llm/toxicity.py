@@ -185,9 +185,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, learnt: Column) -> list[tu
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(learnt).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.filter("toxic = 1").orderBy(*by).limit(TOXIC).unionByName(known.filter("toxic = 0").orderBy(*by).limit(ORDINARY))
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text")
-    got = got.mapInArrow(cut, "doc_id string, toxic int, text string").collect()
-    return [(r[1], r[2]) for r in sorted(got)]
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    got = got.mapInArrow(cut, schema_of(got)).collect()
+    return [(r[1], r[2]) for r in sorted(got, key=lambda r: (r[0], r[2]))]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
