@@ -652,4 +652,6 @@ def _asked(names: list[int], part: int, p: int, q: np.ndarray, codes: np.ndarray
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     index = Index(vectors)
-    return index.search(vectors.filter(F.pmod("vec_id", F.lit(20)) == 0).withColumnRenamed("vec_id", "query_id"))
+    out = index.search(vectors.filter(F.pmod("vec_id", F.lit(20)) == 0).withColumnRenamed("vec_id", "query_id"))
+    index.close()  # the rounds are over; what is left to compute reads written tables
+    return out
