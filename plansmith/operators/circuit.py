@@ -111,6 +111,11 @@ def marginals(states: DataFrame, features: DataFrame, weight: str = "p") -> Data
     return features.join(states.select("state_id", weight), "state_id").groupBy("feature").agg(F.sum(weight).alias("marginal"))
 
 
+def plan_probabilities(states: DataFrame) -> DataFrame:
+    """Of each plan, whatever its state: plan_key and the probability of all its states."""
+    return states.groupBy("plan_key").agg(F.sum("p").alias("p"))
+
+
 def probability(states: DataFrame, key: str) -> float:
     return states.filter(F.col("plan_key") == key).agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
 
@@ -246,3 +251,24 @@ def sampling_report(drawn: DataFrame, states: DataFrame, features: DataFrame) ->
 def domain_shares(drawn: DataFrame) -> DataFrame:
     n = drawn.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
     return n.select("domain", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
+
+
+#: What stands behind the distribution, for reports.
+BACKEND = {"backend": "states as rows", "arithmetic": "float64", "can": ["fit", "marginals", "conditional marginals", "projection", "weighted draws"]}
+
+
+def conformance(spark) -> dict[str, bool]:
+    """The distribution's operators on three states with one feature, whose results are known; anything else is an error."""
+    states = spark.createDataFrame([("a", "d", 0.2), ("b", "d", 0.3), ("c", "d", 0.5)], "state_id string, domain string, p double")
+    features = spark.createDataFrame([("b", "f"), ("c", "f")], "state_id string, feature string")
+    goal = spark.createDataFrame([("f", 0.8, 0.9)], "feature string, base double, target double")
+    tilted = {r["state_id"]: r["p"] for r in project(states, features, goal).states.select("state_id", "p").collect()}
+    check(states)
+    report = {
+        "marginals": abs(marginals(states, features).first()["marginal"] - 0.8) <= 1e-12,
+        "projection": all(abs(tilted[k] - v) <= 1e-6 for k, v in {"a": 0.1, "b": 0.3375, "c": 0.5625}.items()),
+        "normalised": abs(sum(tilted.values()) - 1) <= 1e-9,
+    }
+    if not all(report.values()):
+        raise RuntimeError(f"the distribution's operators do not conform: {report}")
+    return report

@@ -114,9 +114,24 @@ def serialize(plan: Column) -> Column:
     return F.concat_ws(" ", F.concat(F.lit("<domain="), plan["domain"], F.lit(">")), F.array_join(atoms, " "))
 
 
+# What a student is asked, around the serialised plan; reviews are asked for in Vietnamese.
+ASK = ("Realize the semantic plan faithfully.\nPlan: ", "\nText:")
+ASK_REVIEW = (
+    "Hãy hiện thực hóa kế hoạch ngữ nghĩa sau thành một đánh giá điện thoại bằng tiếng Việt. "
+    "Chỉ trả về nội dung đánh giá bằng tiếng Việt, không giải thích và không dùng ngôn ngữ khác.\nKế hoạch: ",
+    "\nĐánh giá:",
+)
+
+
+def student_prompt(plan: Column) -> Column:
+    """What training and generation ask for a plan."""
+    asked = lambda ask: F.concat(F.lit(ask[0]), serialize(plan), F.lit(ask[1]))
+    return F.when(plan["domain"] == "visfd", asked(ASK_REVIEW)).otherwise(asked(ASK))
+
+
 def training_example(plan: Column, text: Column) -> Column:
     """Prompt and target of a student's training row; generation uses the same prompt."""
-    return F.struct(F.concat(F.lit("Write a text that says exactly this plan:\n"), serialize(plan), F.lit("\nText: ")).alias("prompt"), text.alias("target"))
+    return F.struct(student_prompt(plan).alias("prompt"), text.alias("target"))
 
 
 def prompt(plan: Column, schema_id: Column, constraints: Column) -> Column:
@@ -166,6 +181,20 @@ def run_automaton(edges: DataFrame, seq: list[str]) -> str | None:
     return max(met)[1] if len(met) == len(seq) else None
 
 
+def dead_ends(sequences: DataFrame, key: list[str], edges: DataFrame, seq: str = "seq") -> DataFrame:
+    """Where sequences leave their key's automaton: key, ``step`` (from 0), ``token``, ``state`` and the ``legal`` tokens there,
+    sorted, for each sequence's first illegal step; sequences that are accepted or merely break off have no row. Keys of
+    sequences are unique; a state's legal tokens are as few as the plan's realisations."""
+    name = lambda x: F.when(F.size(x) == 0, F.lit("")).otherwise(F.substring(F.sha2(F.to_json(x), 256), 1, 16))
+    steps = sequences.select(*key, F.col(seq).alias("_s")).withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(F.size("_s"), F.lit(1)))))
+    steps = steps.filter(F.col("_i") <= F.size("_s")).select(*key, (F.col("_i") - 1).alias("step"), name(F.slice("_s", F.lit(1), F.col("_i") - 1)).alias("state"), F.element_at("_s", F.col("_i")).alias("token"))
+    legal = edges.groupBy(*key, "state").agg(F.array_sort(F.collect_set("token")).alias("legal"))
+    # the first step that its state does not list; every state before it is one of the automaton's
+    wrong = steps.join(legal, [*key, "state"], "left").filter(~F.coalesce(F.array_contains("legal", F.col("token")), F.lit(False)))
+    first = wrong.groupBy(*key).agg(F.min_by(F.struct("step", "token", "state", "legal"), "step").alias("_f"))
+    return first.select(*key, "_f.step", "_f.token", "_f.state", F.coalesce("_f.legal", F.array().cast("array<string>")).alias("legal"))
+
+
 def post_validation(plan: Column, text: Column, schema_valid: Column, fsa_accepted: Column) -> Column:
     """The validation struct of a generated text; terms are looked for in the canonical text."""
     whole = canonical_text(F.coalesce(text, F.lit("")))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 _DECODER = json.JSONDecoder()
@@ -53,6 +54,32 @@ def normalise(raw: str | None, domain: str, schema_id: str | None = None) -> str
     return json.dumps({"plan": plan, "text": text}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
+# Keys under which a model may have put a text, in the order in which they are looked for.
+SAID_KEYS = ("text", "review", "comment", "response", "output")
+
+
+def said(raw: str | None) -> str:
+    """The text of an answer whose plan is known: the first of the text keys that isn't blank, or the whole answer where it
+    is no object; empty where there is none."""
+    found = find_object(raw)
+    if found is not None:
+        values = json.loads(found)
+        return next((v.strip() for k in SAID_KEYS if isinstance(v := values.get(k), str) and v.strip()), "")
+    whole = (raw or "").strip()
+    return "" if whole.startswith("{") else whole
+
+
+def attached(raw: Column, plan: Column) -> Column:
+    """A candidate of a fixed plan and the text that the answer gives, as JSON."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(said)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.to_json(F.struct(plan.alias("plan"), pandas_udf(run, "string")(F.coalesce(raw, F.lit(""))).alias("text")))
+
+
 def first_object(text: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:

@@ -181,6 +181,11 @@ def scheduled(pool: DataFrame, id_col: str, domain: str, weights: dict[str, floa
     return at.join(order, (F.col("_domain") == F.col(domain)) & (F.col("_at") == F.col("_r"))).drop("_domain", "_at", "_r")
 
 
+def whitelisted(df: DataFrame, column: str, names: list[str] | None) -> DataFrame:
+    """Rows whose value is one of the names; without names all rows."""
+    return df if names is None else df.filter(F.col(column).isin(list(names)))
+
+
 def rotation(attempts: DataFrame, source: str, order: str) -> DataFrame:
     """Adds ``attempt`` (from 0), a row's number within its source."""
     return attempts.withColumn("attempt", F.row_number().over(Window.partitionBy(source).orderBy(order)) - 1)
@@ -198,4 +203,4 @@ def capped_accept(candidates: DataFrame, domain: str, quotas: dict[str, int], or
     return out
 
 
-__all__ = ["capped_accept", "exact_group_split", "group_split", "hash_uniforms", "numpy_uniforms", "rotation", "scheduled", "shuffled", "strata", "stratified_sample", "two_stage_sample", "weighted_draw"]
+__all__ = ["capped_accept", "exact_group_split", "group_split", "hash_uniforms", "numpy_uniforms", "rotation", "scheduled", "shuffled", "strata", "stratified_sample", "two_stage_sample", "weighted_draw", "whitelisted"]

@@ -132,10 +132,10 @@ def text_consistent(plan: Column, text: Column) -> Column:
     return let(canonical_text(F.coalesce(text, F.lit(""))), said)
 
 
-def verify(candidates: DataFrame, schemas: DataFrame, check_script: bool = False) -> DataFrame:
+def verify(candidates: DataFrame, schemas: DataFrame, check_script: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """candidates(source_id, candidate: JSON of plan and text) against schemas(source_id, ...): parse_valid, phi_valid,
-    factual_consistency, reject_reason (the first that applies), plan, text and errors. A candidate without a schema is an
-    error."""
+    factual_consistency, reject_reason (the first that applies), plan, text and errors, and the candidates' columns to keep. A
+    candidate without a schema is an error."""
     parsed = F.from_json("candidate", f"plan {PLAN}, text string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     j = candidates.join(schemas.select("source_id", "schema_id", "domain", "constraints"), "source_id", "left").withColumn("_p", parsed)
     j = j.withColumn("domain", F.when(F.col("domain").isNull(), F.raise_error(F.concat(F.lit("no schema for "), "source_id")).cast("string")).otherwise(F.col("domain")))
@@ -147,7 +147,7 @@ def verify(candidates: DataFrame, schemas: DataFrame, check_script: bool = False
     reason = F.when(F.col("_broken"), "json_parse").when(~F.col("_fields"), "required_fields").when(F.size("errors") > 0, F.get("errors", 0)["code"]).when(~script, "language_violation").when(~consistent, "plan_text_inconsistent")
     j = j.withColumn("reject_reason", reason)
     ok = ~F.col("_broken") & F.col("_fields")
-    return j.select("source_id", ok.alias("parse_valid"), (ok & (F.size("errors") == 0)).alias("phi_valid"), F.coalesce(ok & F.col("reject_reason").isNull(), F.lit(False)).alias("factual_consistency"), "reject_reason", "plan", "text", "errors")
+    return j.select("source_id", *keep, ok.alias("parse_valid"), (ok & (F.size("errors") == 0)).alias("phi_valid"), F.coalesce(ok & F.col("reject_reason").isNull(), F.lit(False)).alias("factual_consistency"), "reject_reason", "plan", "text", "errors")
 
 
 def realized_valid(v: str = "validation") -> Column:

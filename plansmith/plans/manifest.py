@@ -5,6 +5,7 @@ from __future__ import annotations
 import inspect
 import json
 from collections.abc import Iterable
+from pathlib import Path
 
 from ..functions.canon import digest
 from ..sources.sinks import Files, write_json
@@ -28,6 +29,27 @@ def config_hash(config: dict, stage: str) -> str:
     return digest({k: config[k] for k in SECTIONS[stage]})
 
 
+def scientific_hash(config: dict) -> str:
+    """The digest of all that results depend on: where a run writes is left out."""
+    return digest({k: v for k, v in config.items() if k != "runtime"})
+
+
+def code_revision(root: str | Path = Path(__file__).resolve().parents[2]) -> str:
+    """The commit of a checkout, read from its files; ``unversioned`` where there is none."""
+    git = Path(root) / ".git"
+    try:
+        head = (git / "HEAD").read_text().strip()
+        if not head.startswith("ref: "):
+            return head
+        ref = git / head[5:]
+        if ref.exists():
+            return ref.read_text().strip()
+        packed = (line.split(" ") for line in (git / "packed-refs").read_text().splitlines() if not line.startswith(("#", "^")))
+        return next(h for h, name in packed if name == head[5:])
+    except (OSError, StopIteration):
+        return "unversioned"
+
+
 def code_hash(functions: Iterable) -> str:
     """The digest of the sources of all modules that the functions come from."""
     modules = sorted({inspect.getmodule(f) for f in functions}, key=lambda m: m.__name__)
@@ -51,7 +73,7 @@ class ManifestStore:
     def save(self, stage: str, status: str, counts: dict[str, int] | None = None, artifacts: dict[str, str] | None = None, error: str | None = None) -> dict:
         """artifacts: name to a fingerprint of what was written."""
         up = {u: (self.load(u) or {}).get("self") for u in UPSTREAM[stage]}
-        m = {"stage": stage, "status": status, "config": config_hash(self.config, stage), "code": self.code.get(stage, ""), "counts": counts or {}, "artifacts": artifacts or {}, "upstream": up, "error": error}
+        m = {"stage": stage, "status": status, "config": config_hash(self.config, stage), "scientific": scientific_hash(self.config), "revision": code_revision(), "code": self.code.get(stage, ""), "counts": counts or {}, "artifacts": artifacts or {}, "upstream": up, "error": error}
         m["self"] = digest(m)
         write_json(self.path(stage), m, self.files)
         return m

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions import allocation as A
 from ..functions import canon as C
-from ..operators import circuit, evaluate, realize, records, sampling, validate
+from ..operators import attempts, circuit, evaluate, realize, records, sampling, validate
 from ..sources import readers, sinks
 from . import config as cfg
+from . import preflight
 from .manifest import STAGES, UPSTREAM, ManifestStore, code_hash
 
 
@@ -66,6 +67,8 @@ class Pipeline:
         for name, spec in c["datasets"].items():
             r = readers.read_family(self.spark, name, spec, seed)
             keys = c["sample"]["stratify_by"].get(name, [])
+            kind = F.regexp_replace("domain", "^zebra_", "") if name == "zebralogic" else F.col("official_split")
+            r = sampling.whitelisted(r.withColumn("_kind", kind), "_kind", c["sample"]["splits"].get(name)).drop("_kind")
             for split in [x[0] for x in r.select("official_split").distinct().orderBy("official_split").collect()]:
                 s = r.filter(F.col("official_split") == split)
                 population = c["sample"]["population"].get(name, {}).get(split)
@@ -96,16 +99,25 @@ class Pipeline:
         tries = train.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(c["max_candidates"] - 1))))
         seed = self.config["seed"] + C.hash_seed(F.concat_ws("|", "source_id", F.col("attempt").cast("string")))
         tries = tries.withColumn("candidate_seed", seed).withColumn("sample_id", F.substring(C.sha256(F.concat_ws("|", "source_id", F.col("candidate_seed").cast("string"))), 1, 24))
-        made = tries.withColumn("candidate", F.to_json(F.struct(F.col("reference_plan").alias("plan"), self.teacher(F.col("reference_plan"), F.col("candidate_seed")).alias("text"))))
-        checked = validate.verify(made.select(F.concat_ws("#", "source_id", F.col("attempt").cast("string")).alias("source_id"), "candidate"), schemas.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(c["max_candidates"] - 1)))).withColumn("source_id", F.concat_ws("#", "source_id", F.col("attempt").cast("string"))), check_script=True)
-        flags = checked.withColumnRenamed("source_id", "_k").drop("plan")
-        every = made.drop("candidate").join(flags, F.concat_ws("#", "source_id", F.col("attempt").cast("string")) == F.col("_k")).drop("_k").withColumnRenamed("reference_plan", "plan")
-        every = self.write(every.withColumn("accepted", F.col("parse_valid") & F.col("phi_valid") & F.col("factual_consistency")), "silver_attempts")
+        retried = tries.withColumn("retry", F.explode(F.sequence(F.lit(0), F.lit(c["retries"] - 1))))
+        said = self.teacher(F.col("reference_plan"), attempts.retry_seed(F.col("candidate_seed"), F.col("retry")))
+        made = retried.withColumn("candidate", F.to_json(F.struct(F.col("reference_plan").alias("plan"), said.alias("text"))))
+        checked = validate.verify(made.select("source_id", "attempt", "retry", "candidate"), schemas, True, ("attempt", "retry", "candidate"))
+        resolved = self.write(attempts.resolve(checked, ["source_id", "attempt"]), "silver_tries")
+        # what the template stands in for is verified like any other
+        filled = attempts.with_fallback(tries.join(resolved, ["source_id", "attempt"]))
+        flags = validate.verify(filled.select("source_id", "attempt", "candidate"), schemas, True, ("attempt",)).drop("plan")
+        every = filled.drop("candidate").join(flags, ["source_id", "attempt"]).withColumnRenamed("reference_plan", "plan")
+        every = self.write(every.withColumn("accepted", attempts.accepted()), "silver_attempts")
         # a source's first attempts come first, so that quotas spread over sources
         got = sampling.capped_accept(every.withColumn("_h", C.stable_rank(self.config["seed"], "silver", F.col("sample_id"))), "domain", {k: v for k, v in quotas.items() if v}, ["attempt", "_h"]).drop("_h")
-        self.write(got, "silver")
-        self.write(every.groupBy("domain").agg(F.count_if("accepted").alias("acceptable"), F.count_if(~F.col("accepted")).alias("rejected")).join(got.groupBy("domain").agg(F.count(F.lit(1)).alias("accepted")), "domain", "left"), "quota_report")
-        return ["silver_attempts", "silver", "quota_report"]
+        got = self.write(got, "silver")
+        self.log.log("progress", stage="silver", attempts=every.count(), accepted=got.count())
+        report = every.groupBy("domain").agg(F.count_if("accepted").alias("acceptable"), F.count_if(~F.col("accepted")).alias("rejected"))
+        report = report.join(attempts.totals(got).select("domain", F.col("candidates").alias("accepted"), "fallbacks", "retries"), "domain", "left")
+        self.write(report, "quota_report")
+        self.write(attempts.reasons(every), "attempt_reasons")
+        return ["silver_tries", "silver_attempts", "silver", "quota_report", "attempt_reasons"]
 
     def fit(self) -> list[str]:
         c, f = self.config["fit"], self.config["features"]
@@ -278,7 +290,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     config = cfg.load(a.config, a.set)
     spark = spark or SparkSession.builder.appName("plansmith").getOrCreate()
     if a.command == "preflight":
-        print(json.dumps({"spark": spark.version, "parallelism": spark.sparkContext.defaultParallelism, "root": config["runtime"]["root"], "datasets": sorted(config["datasets"])}))
+        print(json.dumps(preflight.report(spark, config)))
         return 0
     p = Pipeline(spark, config)
     if a.command == "status":

@@ -649,3 +649,6 @@ def quota_acceptance(spark, d):
 def resume_pending(spark, d):
     o = t(spark, d, "orders").select(F.lit("v").alias("variant"), F.col("o_orderkey").alias("generation_index"))
     return evaluate.pending(o, o.filter("generation_index % 3 = 0")).select(F.col("generation_index").alias("o_orderkey"))
+
+
+from . import record_queries  # noqa: E402, F401  registers its queries beside these

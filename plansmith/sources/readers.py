@@ -23,6 +23,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, length and SHA-256 of every file under a path, computed where the files are read; a file is one row, so for files
+    that fit an executor."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def read_raw(spark: SparkSession, source: dict) -> DataFrame:
     """Raw rows of a source: ``path`` and ``format`` (json, parquet, orc, csv), and a ``schema`` where it should be fixed."""
     reader = spark.read.format(source.get("format", "json"))
