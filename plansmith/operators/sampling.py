@@ -111,11 +111,17 @@ def _solved(items: list[int], target: int) -> set[int]:
 def exact_group_split(df: DataFrame, group: str, strata_cols: list[str], target: int, names: tuple[str, str] = ("train", "validation")) -> DataFrame:
     """Adds ``split`` with exactly ``target`` rows in the second one, groups kept whole. Groups of a size are interleaved
     over strata (a group's stratum is its least row's) and cut into runs of 1, 2, 4, ... groups; the driver sees only how
-    many groups a size has and solves the subset sum over runs."""
+    many groups a size has and solves the subset sum over runs. Places are counted within buckets, so that the groups of one
+    size aren't numbered in one task."""
     first = F.min(F.struct(*strata_cols)).alias("_stratum") if strata_cols else F.lit(0).alias("_stratum")
     g = df.groupBy(group).agg(F.count(F.lit(1)).cast("long").alias("_size"), first)
-    g = g.withColumn("_turn", F.row_number().over(Window.partitionBy("_size", "_stratum").orderBy(group)))
-    g = g.withColumn("_at", F.row_number().over(Window.partitionBy("_size").orderBy("_turn", "_stratum")))
+    # strata of a size are few: they are numbered, and a group's place follows from its turn and its stratum's number
+    kinds = g.select("_size", "_stratum").distinct().withColumn("_at_stratum", F.row_number().over(Window.partitionBy("_size").orderBy("_stratum")))
+    kinds = kinds.select(F.col("_size").alias("_n"), F.col("_stratum").alias("_of"), "_at_stratum")
+    g = g.join(kinds, F.col("_size").eqNullSafe(F.col("_n")) & F.col("_stratum").eqNullSafe(F.col("_of"))).drop("_n", "_of")
+    g = numbered(g, ["_size", "_at_stratum"], group, "_turn")
+    g = g.withColumn("_place", F.col("_turn") * F.lit(1 << 31) + F.col("_at_stratum"))
+    g = numbered(g, ["_size"], "_place", "_at")
     g = g.withColumn("_run", F.floor(F.log2(F.col("_at").cast("double")) + 1e-9).cast("int"))
     runs = g.groupBy("_size", "_run").agg((F.count(F.lit(1)) * F.first("_size")).alias("rows")).orderBy("_size", "_run").collect()
     picked = _subset([r["rows"] for r in runs], target)

@@ -8,8 +8,8 @@ from .functions import allocation as A
 from .functions import canon as C
 from .functions import metrics as M
 from .operators import attempts, circuit, evaluate, grids, realize, records, salvage, sampling, validate
-from .plans.model import PLAN, empty_plan
-from .queries import _JSON, _PART, _STATES_SQL, line_records, order_features, order_states, part_outputs, part_records, query, t
+from .plans.model import GRID_SHAPES, PLAN, empty_plan
+from .queries import _FEATURES_SQL, _JSON, _PART, _SPACE_SQL, _STATES_SQL, SEED, _order_space, line_records, order_features, order_states, part_outputs, part_records, query, t
 
 
 def label_records(spark, d):
@@ -352,3 +352,50 @@ def row_digests(spark, d):
     """Digests of rows as canonical JSON."""
     x = t(spark, d, "documents").select("doc_id", "lang", F.length("text").alias("n"))
     return x.select("doc_id", C.sha256(F.to_json(F.struct("lang", "n"), {"ignoreNullFields": "false"})).alias("digest"))
+
+
+@query(f"""WITH {_STATES_SQL}, {_FEATURES_SQL}, {_SPACE_SQL}, g AS (SELECT feature, weight AS b FROM rp ORDER BY weight, feature LIMIT 12)
+SELECT feature, round(least(b * 1.25, b + 0.02, 1 - 1e-8), 5) AS marginal FROM g UNION ALL SELECT 'mass', 1.0""")
+def project_moments(spark, d):
+    """The projected distribution's marginals of the features that were aimed at, and its mass."""
+    s, f = _order_space(spark, d)
+    space = circuit.local(circuit.feature_space(f, s, (8, 12, 20)))
+    every = circuit.with_pairs(f, space)
+    goal = circuit.targets(circuit.marginals(s, every), limit=12)
+    p = circuit.project(s, every, goal).states
+    got = circuit.marginals(p, every).join(F.broadcast(goal.select("feature")), "feature")
+    return got.unionByName(p.agg(F.lit("mass").alias("feature"), F.sum("p").alias("marginal"))).select("feature", F.round("marginal", 5).alias("marginal"))
+
+
+@query("""SELECT split, n, CAST(0 AS BIGINT) AS torn FROM (SELECT 'validation' AS split, count(*) // 20 AS n FROM conversations UNION ALL SELECT 'train', count(*) - count(*) // 20 FROM conversations)""")
+def exact_split_sizes(spark, d):
+    """How many rows each side of an exact split of whole conversations has, and how many conversations lie on both."""
+    c = t(spark, d, "conversations").select("conv_id", "turn", "role")
+    s = sampling.exact_group_split(c, "conv_id", ["role"], c.count() // 20)
+    sides = s.groupBy("conv_id").agg(F.count_distinct("split").alias("sides")).agg(F.count_if(F.col("sides") > 1).alias("torn"))
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(sides))
+
+
+PUZZLES = {"zebra_easy": 300, "zebra_medium": 400, "zebra_hard": 300}
+_SHAPES = ", ".join(f"('{k}', {n}, {c}, {PUZZLES[k]})" for k, (n, c) in GRID_SHAPES.items())
+_POOLS = ", ".join(f"('{c}', '{x}')" for c, items in grids.POOLS.items() for x in items)
+_IDS = f"SELECT 'zebralogic:' || domain || ':' || i AS source_id, domain, n, k FROM (VALUES {_SHAPES}) v(domain, n, k, many), LATERAL (SELECT unnest(range(many)) AS i)"
+
+
+@query(f"""WITH pool(c, x) AS (VALUES {_POOLS}), ids AS ({_IDS}),
+cats AS (SELECT * FROM (SELECT ids.*, c, row_number() OVER (PARTITION BY source_id, c = '{grids.ANCHOR}' ORDER BY sha256(concat_ws('|', '42', 'category', source_id, c))) AS r FROM ids, (SELECT DISTINCT c FROM pool)) WHERE c = '{grids.ANCHOR}' OR r < k),
+picked AS (SELECT source_id, c, x FROM (SELECT source_id, c, x, n, row_number() OVER (PARTITION BY source_id, c ORDER BY sha256(concat_ws('|', '42', c, source_id, x))) AS r FROM cats JOIN pool USING (c)) WHERE r <= n)
+SELECT source_id, c AS category, x AS item, CAST(row_number() OVER (PARTITION BY source_id, c ORDER BY sha256(concat_ws('|', '42', 'seat', source_id, c, x))) - 1 AS INT) AS position FROM picked""")
+def grid_items(spark, d):
+    """Every item of generated puzzles and its place."""
+    g = grids.generate(spark, PUZZLES, SEED).select("source_id", F.explode("assignment").alias("category", "of"))
+    return g.select("source_id", "category", F.explode("of").alias("item", "position"))
+
+
+@query(f"""WITH ids AS ({_IDS}), c AS (SELECT source_id, n, unnest(['fixed_position', 'left_of', 'equality', 'adjacent', 'not_adjacent']) AS type,
+unnest([1, n - 1, (k - 1) * n, CASE WHEN n >= 2 THEN k - 1 ELSE 0 END, CASE WHEN n >= 3 THEN k - 1 ELSE 0 END]) AS clues FROM ids)
+SELECT source_id, type, CAST(clues AS BIGINT) AS clues FROM c WHERE clues > 0""")
+def grid_clues(spark, d):
+    """How many clues of each type generated puzzles have."""
+    g = grids.generate(spark, PUZZLES, SEED).select("source_id", F.explode("clues").alias("c"))
+    return g.groupBy("source_id", F.col("c.type").alias("type")).agg(F.count(F.lit(1)).alias("clues"))
