@@ -25,7 +25,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, length and SHA-256 of every file under a path, computed where the files are read; a file is one row, so for files
-    that fit an executor."""
+    that fit an executor. Spark's source leaves empty files out."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
