@@ -567,8 +567,7 @@ FROM part, (VALUES ('constrained'), ('free')) x(v), (VALUES ('all'), ('dataset')
 def evaluation_report(spark, d):
     o = part_outputs(spark, d)
     vocabulary = o.select("domain", F.explode(F.transform(realize.facts(F.col("plan")), realize.canonical_fact)).alias("fact"))
-    scores = evaluate.fact_scores(o, "output_id", vocabulary)
-    s = o.join(scores, "output_id").withColumns({"valid": F.col("hits") == F.col("facts"), "plan_valid": F.lit(True), "term_precision": F.lit(1.0), "generation_ms": F.lit(0.0), "token_log_probabilities": F.array_repeat(F.lit(-0.6931471805599453), 2)})
+    s = evaluate.fact_scores(o, "output_id", vocabulary, ("variant", "dataset", "domain", "group")).withColumns({"valid": F.col("hits") == F.col("facts"), "plan_valid": F.lit(True), "term_precision": F.lit(1.0), "generation_ms": F.lit(0.0), "token_log_probabilities": F.array_repeat(F.lit(-0.6931471805599453), 2)})
     r = evaluate.quality(s)
     return r.select("variant", "level", "slice", "outputs", "schema_validity", F.round("fact_precision", 9).alias("fact_precision"), F.round("fact_coverage", 9).alias("fact_coverage"), F.round("bits_per_token", 9).alias("bits_per_token"))
 

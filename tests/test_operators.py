@@ -204,3 +204,13 @@ def test_fact_keys_are_the_rarest_tokens(spark):
     facts = [("-", ["a b", "c"]), ("-", ["c", "a d"]), ("-", ["a"]), ("-", ["a c", "a"]), ("-", ["a b", "c"]), ("-", []), ("x", ["a", "e"]), ("x", ["e"])]
     got = {(r["domain"], tuple(r["fact"])): r["token"] for r in evaluate.fact_keys(spark.createDataFrame(facts, "domain string, fact array<string>")).collect()}
     assert got == {("-", ("a b", "c")): "b", ("-", ("c", "a d")): "d", ("-", ("a",)): "a", ("-", ("a c", "a")): "c", ("x", ("a", "e")): "a", ("x", ("e",)): "e"}
+
+
+def test_scores_keep_columns(spark):
+    r = plans(spark, [("1", [("Paris", "locatedIn", "France")])])
+    o = r.select(F.col("source_id").alias("output_id"), "domain", F.lit("v").alias("variant"), F.col("reference_plan").alias("plan"), realize.plan_text(F.col("reference_plan")).alias("text"))
+    v = o.select("domain", F.explode(F.transform(realize.facts(F.col("plan")), realize.canonical_fact)).alias("fact"))
+    got = evaluate.fact_scores(o, "output_id", v, ("variant", "domain", "text"))
+    assert got.columns == ["output_id", "variant", "domain", "text", "hits", "facts", "precision"]
+    want = o.join(evaluate.fact_scores(o, "output_id", v), "output_id").select(*got.columns)
+    assert [tuple(x) for x in got.collect()] == [tuple(x) for x in want.collect()]

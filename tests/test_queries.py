@@ -17,7 +17,7 @@ def test_query_runs_twice_alike(spark, data, name):
     assert a and a == b
 
 
-@pytest.mark.parametrize("name", ["fact_coverage"])
+@pytest.mark.parametrize("name", ["fact_coverage", "evaluation_report"])
 def test_outputs_are_not_broadcast_by_estimate(spark, data, name):
     """Exploded rows pass for as few as those they come from, so that a plan that trusts this collects all outputs in the driver."""
     assert "Broadcast" not in queries.QUERIES[name](spark, data)._jdf.queryExecution().sparkPlan().toString()
